@@ -54,7 +54,7 @@ def test_running_total(spark):
         assert list(part.total) == list(part.id.cumsum())
 
 
-@pytest.mark.parametrize("method", ["exact_hash", "exact_sort"])
+@pytest.mark.parametrize("method", ["exact_gather", "exact_sort"])
 @pytest.mark.parametrize("n_bins", [1, 7, 29])
 def test_exact_quantiles(skewed, method, n_bins):
     probs = Q.even_probs(n_bins)

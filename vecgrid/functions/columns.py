@@ -20,6 +20,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def count_leading(tests: Sequence[Column]) -> Column:
+    """Number of leading true tests where all true ones come first.
+
+    A decision tree: log2(n) tests are evaluated per row, in plain generated code.
+    """
+    if not tests:
+        return F.lit(0)
+
+    def branch(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(tests[mid], branch(mid + 1, hi)).otherwise(branch(lo, mid))
+
+    return branch(0, len(tests))
+
+
 def widen(df: DataFrame, col: str, width: int, prefix: str = "fp_", keep: Sequence[str] | None = None) -> DataFrame:
     """Array column to ``prefix1 ... prefixN`` (1-based); missing positions are NULL."""
     keep = [c for c in df.columns if c != col] if keep is None else list(keep)

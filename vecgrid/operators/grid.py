@@ -11,12 +11,13 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecgrid.functions.columns import count_leading
 from vecgrid.operators.quantiles import even_probs, quantiles
 from vecgrid.operators.skew import lookup_join
 from vecgrid.session import stable
 
 DEFAULT_BINS = 50
-UNROLLED_EDGES = 128  # up to here the edge search is unrolled into generated code
+UNROLLED_EDGES = 128  # up to here the edge search is a decision tree in generated code
 LABEL_PATTERN = re.compile(r"^\d+_\d+_\d+$")
 
 
@@ -46,7 +47,9 @@ def bin_of(x: str | Column, edges: Sequence[float] | Column, n_bins: int | None
         raise ValueError("at least one bin is needed")
     if n_bins + 1 <= UNROLLED_EDGES:
         cut = [F.lit(float(e)) for e in edges] if literal else [F.get(edges, F.lit(i)) for i in range(n_bins + 1)]
-        reached = reduce(lambda a, b: a + b, [(e <= x).cast("int") for e in cut])
+        reached = count_leading([e <= x for e in cut])
+        if not literal:
+            reached = F.when(edges.isNotNull(), reached)
     else:
         array = F.array(*[F.lit(float(e)) for e in edges]) if literal else edges
         reached = F.when(array.isNotNull(), F.size(F.filter(array, lambda e: e <= x)))

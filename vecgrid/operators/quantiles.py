@@ -1,7 +1,8 @@
 """Quantiles of columns, overall or per group, by four interchangeable methods.
 
-``exact``   linear interpolation, same numbers as numpy. Small inputs use Spark's
-            ``percentile``; larger ones are sorted across the cluster.
+``exact``   linear interpolation, same numbers as numpy. Up to a million rows a
+            group's values are sorted in place; larger inputs are sorted across
+            the cluster, so no group has to fit a task.
 ``sketch``  KLL sketches: one pass, tiny shuffle, rank error about 1.3/k.
 ``approx``  ``percentile_approx``.
 
@@ -16,14 +17,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecgrid.functions.columns import count_leading
 from vecgrid.operators.ranking import running_total
 from vecgrid.operators.skew import null_safe_join
 
-EXACT_HASH_ROWS = 5_000_000  # percentile() keeps a value->count map per group
+EXACT_GATHER_ROWS = 1_000_000  # 8 MB if all of them are one group
 KLL_K = 4000
 APPROX_ACCURACY = 100_000
 
-METHODS = ("exact", "exact_hash", "exact_sort", "sketch", "approx")
+METHODS = ("exact", "exact_gather", "exact_sort", "sketch", "approx")
 
 
 def valid_number(col: str | Column) -> Column:
@@ -58,15 +60,15 @@ def quantiles(
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     if method == "exact":
         rows = df.count() if rows is None else rows
-        method = "exact_hash" if rows <= EXACT_HASH_ROWS else "exact_sort"
+        method = "exact_gather" if rows <= EXACT_GATHER_ROWS else "exact_sort"
     if method == "exact_sort":
         per_col = [_sorted_quantiles(df, c, probs, by) for c in cols]
         return reduce(lambda a, b: _join_groups(a, b, by), per_col)
 
     wanted = F.array(*[F.lit(p) for p in probs])
     slim = df.select(*by, *[valid_number(c).alias(c) for c in cols])
-    if method == "exact_hash":
-        aggs = [F.percentile(c, wanted).alias(c) for c in cols]
+    if method == "exact_gather":
+        aggs = [F.sort_array(F.collect_list(c)).alias(c) for c in cols]
     elif method == "approx":
         aggs = [F.percentile_approx(c, wanted, F.lit(APPROX_ACCURACY)).alias(c) for c in cols]
     else:
@@ -74,9 +76,26 @@ def quantiles(
     out = slim.groupBy(*by).agg(*aggs)
     if method == "sketch":
         out = out.select(*by, *[sketch_values(c, probs).alias(c) for c in cols])
+    if method == "exact_gather":
+        out = out.select(*by, *[_interpolated(F.col(c), wanted).alias(c) for c in cols])
     return out
 
 
+def _interpolated(values: Column, probs: Column) -> Column:
+    """Quantiles of a sorted array of values; NULL for an empty one."""
+
+    def at(p: Column) -> Column:
+        pos = (F.size(values) - 1) * p
+        low, high = F.get(values, F.floor(pos).cast("int")), F.get(values, F.ceil(pos).cast("int"))
+        return _between(low, high, pos - F.floor(pos))
+
+    return F.when(F.size(values) > 0, F.transform(probs, at))
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    return F.when(share == 0, low).otherwise(low * (1 - share) + high * share)
+
+
 def sketch_values(sketch: str | Column, probs: Sequence[float]) -> Column:
     """Quantiles held by a KLL sketch column; NULL for an empty sketch."""
     sk = F.col(sketch) if isinstance(sketch, str) else sketch
@@ -110,7 +129,7 @@ def _sorted_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str]
     holds = lambda at: (at >= start) & (at < F.col("_end"))
     hits = (
         cum.filter(F.col("_n") > 0)
-        .filter(F.exists(wanted, lambda w: _touches(w["p"])))
+        .filter(_touches(probs))
         .select(*by, "_v", "_n", "_end", "_size", F.explode(wanted).alias("_w"))
         .withColumn("_pos", pos)
         .withColumn("_low", F.when(holds(F.floor("_pos")), F.col("_v")))
@@ -119,9 +138,7 @@ def _sorted_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str]
     )
     share = F.first("_pos") - F.floor(F.first("_pos"))
     points = hits.groupBy(*by, F.col("_w.i").alias("_i")).agg(
-        F.when(share == 0, F.max("_low"))
-        .otherwise(F.max("_low") * (1 - share) + F.max("_high") * share)
-        .alias("_q")
+        _between(F.max("_low"), F.max("_high"), share).alias("_q")
     )
     gathered = points.groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias(col)
@@ -131,7 +148,10 @@ def _sorted_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str]
     return _join_groups(counted.select(*by).distinct(), gathered, by)
 
 
-def _touches(p: Column) -> Column:
-    at = (F.col("_size") - 1) * p
-    start = F.col("_end") - F.col("_n")
-    return (F.ceil(at) >= start) & (F.floor(at) < F.col("_end"))
+def _touches(probs: list[float]) -> Column:
+    """Does the row hold the position of any probability, or of the value after it?"""
+    start, end, last = F.col("_end") - F.col("_n"), F.col("_end"), F.col("_size") - 1
+    ordered = sorted(probs)
+    first_ahead = count_leading([F.ceil(last * p) < start for p in ordered])
+    p = F.get(F.array(*[F.lit(p) for p in ordered]), first_ahead)  # NULL if none is ahead
+    return F.floor(last * p) < end
