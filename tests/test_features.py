@@ -99,7 +99,7 @@ def test_hashed_bits_definition(spark):
 def test_count_profile(spark):
     df = spark.createDataFrame([("CC(=O)Cl",), ("[NH4+].[Cl-]",)], "t string")
     names = list(X.SMILES_PATTERNS)
-    got = [dict(zip(names, r.c, strict=True)) for r in df.select(X.count_profile("t").alias("c")).collect()]
+    got = [dict(zip(names, r.c, strict=True)) for r in X.count_profile(df, "t", "c").collect()]
     assert (got[0]["C"] - got[0]["Cl"], got[0]["Cl"], got[0]["double_bond"], got[0]["O"]) == (2, 1, 1, 1)
     assert (got[1]["positive_charge"], got[1]["negative_charge"], got[1]["dot"]) == (1, 1, 1)
 

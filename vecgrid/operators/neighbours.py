@@ -24,7 +24,8 @@ from vecgrid.operators.ranking import ranked
 from vecgrid.operators.skew import lookup_join
 from vecgrid.session import stable
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 2048  # signatures per block
+POINT_ROWS = 512  # points per block, unless that makes too many blocks
 MAX_BLOCKS = 20_000  # bounding boxes shipped to every task: 1 MB at three coordinates
 CHUNK = 1 << 21  # distances a task holds at a time
 
@@ -133,7 +134,7 @@ def _score_block(pdf: pd.DataFrame, window: int, k: int) -> pd.DataFrame:
 
 
 def knn_coords(
-    df: DataFrame, id_col: str, coords: Sequence[str], k: int = 20, block_rows: int = BLOCK_ROWS
+    df: DataFrame, id_col: str, coords: Sequence[str], k: int = 20, block_rows: int = POINT_ROWS
 ) -> DataFrame:
     """Exact Euclidean neighbours: (src, dst, weight, rank), k per row, ties by id.
 
@@ -280,12 +281,16 @@ def _nearest(asking: pd.DataFrame, held: pd.DataFrame, x: list[str], k: int) ->
     for i in range(0, len(a), step):
         d2 = _squared(a[i : i + step], h)
         d2[a_id[i : i + step, None] == h_id[None, :]] = np.inf
-        pick = np.argsort(d2, axis=1, kind="stable")[:, :k]  # stable: equal distances stay in id order
-        got = np.take_along_axis(d2, pick, axis=1)
-        keep = np.isfinite(got)
-        src.append(np.repeat(a_id[i : i + step], keep.sum(axis=1)))
-        dst.append(h_id[pick[keep]])
-        dist.append(got[keep])
+        worst = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(h) > k else np.full(len(d2), np.inf)
+        row, col = np.nonzero((d2 <= worst[:, None]) & np.isfinite(d2))  # every tie at the k-th place
+        value = d2[row, col]
+        order = np.lexsort((value, row))  # stable: equal distances stay in id order
+        row, col, value = row[order], col[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        src.append(a_id[i : i + step][row[keep]])
+        dst.append(h_id[col[keep]])
+        dist.append(value[keep])
     if not src:
         return pd.DataFrame({"src": [], "dst": [], "d2": []})
     return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "d2": np.concatenate(dist)})

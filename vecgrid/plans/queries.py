@@ -233,13 +233,15 @@ def mapc_docs(spark, sf):
 
 @query
 def count_profile_docs(spark, sf):
-    return docs(spark, sf).select("doc_id", F.array_join(X.count_profile("text", "text"), ",").alias("counts"))
+    out = X.count_profile(docs(spark, sf), "text", "fp", "text")
+    return out.select("doc_id", F.array_join("fp", ",").alias("counts"))
 
 
 @query
 def count_profile_pages(spark, sf):
     pages = spread(table(spark, sf, "pages").select("page_id", "html"))
-    return pages.select("page_id", F.array_join(X.count_profile("html", "text"), ",").alias("counts"))
+    out = X.count_profile(pages, "html", "fp", "text")
+    return out.select("page_id", F.array_join("fp", ",").alias("counts"))
 
 
 @query

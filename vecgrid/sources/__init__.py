@@ -1,0 +1,21 @@
+from vecgrid.sources.chunks import assign_chunk_id, chunk_plan, source_stem
+from vecgrid.sources.readers import (
+    detect_format,
+    expand_inputs,
+    lost_files,
+    read_parquet_lenient,
+    read_strings,
+    union_tables,
+)
+
+__all__ = [
+    "assign_chunk_id",
+    "chunk_plan",
+    "detect_format",
+    "expand_inputs",
+    "lost_files",
+    "read_parquet_lenient",
+    "read_strings",
+    "source_stem",
+    "union_tables",
+]
