@@ -93,7 +93,8 @@ def _interpolated(values: Column, probs: Column) -> Column:
 
 
 def _between(low: Column, high: Column, share: Column) -> Column:
-    return F.when(share == 0, low).otherwise(low * (1 - share) + high * share)
+    """Exactly the value itself between equal neighbours, or bins would shift by a rounding error."""
+    return F.when((share == 0) | (low == high), low).otherwise(low + (high - low) * share)
 
 
 def sketch_values(sketch: str | Column, probs: Sequence[float]) -> Column:
