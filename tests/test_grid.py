@@ -131,3 +131,36 @@ def test_representatives_match_numpy(table):
         assert abs(d.min() - row.centroid_distance) < 1e-9
         assert part.loc[d.idxmin()].c_name == row.c_name
     assert len(got) == pdf.c_nationkey.nunique()
+
+
+def test_third_of_rows_at_one_value(spark):
+    """Heavy ties leave bins empty, lose nothing, and all methods agree on who is tied."""
+    rows = spark.range(6000).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 6000).alias("a"),
+        F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.col("id") * 1.0).alias("b"),
+    )
+    for method in ("exact", "exact_sort", "sketch", "approx"):
+        out = G.hierarchical_bins(rows, [("a", 10), ("b", 4)], method).toPandas()
+        assert len(out) == 6000
+        tied = out[out.id % 3 == 0]
+        assert tied.cluster_id_1.nunique() == 1
+        assert out.cluster_id_1.nunique() < 10 and out.cluster_id_1.between(0, 9).all()
+        assert out[(out.id % 6 == 0)].cluster_id_2.nunique() == 1
+
+
+def test_wide_grid_uses_real_sizes(spark):
+    """More than 50 bins per level: ids stay unique."""
+    rows = spark.range(20000).select("id", (F.col("id") % 200).alias("a"), (F.col("id") / 200).alias("b"))
+    out = G.create_clusters(rows, ["a", "b"], [200, 60], method="exact", keep_parts=True)
+    pairs = out.select("cluster_id", "cluster_id_1", "cluster_id_2").distinct()
+    assert pairs.count() == pairs.select("cluster_id").distinct().count()
+    assert out.agg(F.max("cluster_id_1"), F.max("cluster_id_2")).first() == (199, 59)
+
+
+def test_clusters_written_by_cell_ranges(spark, tmp_path):
+    rows = spark.range(3000).select("id", (F.col("id") % 100).alias("a"), F.rand(1).alias("b"), F.rand(2).alias("c"))
+    back = G.create_clusters(rows, ["a", "b", "c"], [4, 4, 4], f"{tmp_path}/cells", "exact")
+    assert back.columns == ["id", "a", "b", "c", "cluster_id"]
+    counts = G.cell_counts(back).toPandas()
+    assert counts.n_rows.sum() == 3000 and len(counts) == 64

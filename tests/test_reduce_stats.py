@@ -114,3 +114,16 @@ def test_fences(table, spark):
     assert 0 < by.count() <= len(pdf)
     gaps = spark.createDataFrame([(1.0,), (2.0,), (None,), (900.0,), (3.0,), (2.0,)], "x double")
     assert stats.iqr_filter(gaps, ["x"]).count() == 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_moments_of_any_split_agree(spark, seed):
+    """Far from zero, unevenly split, with empty parts: centring keeps the digits."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(1e6, 1.0, (400, 5))
+    part = rng.integers(0, 4, 400) ** 2
+    rows = [(int(p), [float(v) for v in r]) for p, r in zip(part, x, strict=True)]
+    df = spark.createDataFrame(rows, "p int, v array<double>").repartition(7, "p")
+    got = sorted(R.moments(df, "v", 5, max_partials=seed + 1).collect(), key=lambda r: r.dim)
+    want = np.cov(x.T, bias=True)
+    np.testing.assert_allclose(np.array([r.comoments for r in got]) / 400, want, rtol=1e-7, atol=1e-9)

@@ -28,7 +28,10 @@ def test_positional_text_with_and_without_header(spark, tmp_path):
     b = write(tmp_path / "b.cxsmiles", ROWS, "\t")
     assert strings(R.read_strings(spark, a, col=1)) == sorted(TEXT)
     assert strings(R.read_strings(spark, b, col=1, header=False)) == sorted(TEXT)
-    assert strings(R.read_strings(spark, a)) == ["1", "2", "3"]
+    assert strings(R.read_strings(spark, a)) == strings(R.read_strings(spark, a, header=0)) == ["1", "2", "3"]
+    assert strings(R.read_strings(spark, b, header=None)) == ["1", "2", "3"]
+    with pytest.raises(ValueError, match="first line"):
+        R.read_strings(spark, a, header=1)
     with pytest.raises(ValueError, match="no column 7"):
         R.read_strings(spark, a, col=7)
 

@@ -71,7 +71,7 @@ def read_strings(
     paths: Paths,
     fmt: str | None = None,
     col: str | int | None = None,
-    header: bool = True,
+    header: bool | int | None = True,
     out: str = "smiles",
     position: bool = False,
     quote: str = '"',
@@ -79,9 +79,13 @@ def read_strings(
     """One string column plus ``_source`` (full file path) from any mix of inputs.
 
     ``col`` is a column name (csv, parquet; default ``smiles``) or a 0-based
-    index (tab-separated; default 0). ``position`` adds ``_block`` and ``_pos``, which
+    index (tab-separated; default 0). ``header``: the first line names the columns
+    (True or 0) or is data already (False or None). ``position`` adds ``_block`` and ``_pos``, which
     order the rows of a file as written. Only the wanted column is parsed.
     """
+    if header is not None and not isinstance(header, bool) and header != 0:
+        raise ValueError("only the first line can be the header")
+    header = header is not None and header is not False
     files = expand_inputs(spark, paths)
     if not files:
         raise ValueError(f"no input files in {paths}")
