@@ -8,10 +8,7 @@ NAN = float("nan")
 
 
 @pytest.mark.parametrize("as_column", [False, True])
-@pytest.mark.parametrize("unrolled", [True, False])
-def test_bin_edge_cases(spark, monkeypatch, as_column, unrolled):
-    if not unrolled:
-        monkeypatch.setattr(G, "UNROLLED_EDGES", 0)
+def test_bin_edge_cases(spark, as_column):
     xs = [-1.0, 0.0, 1.0, 2.0, 3.0, 5.0, NAN, None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
     edges = [0.0, 1.0, 1.0, 3.0]
@@ -23,6 +20,20 @@ def test_bin_edge_cases(spark, monkeypatch, as_column, unrolled):
     assert [r.b for r in out.orderBy("i").collect()] == [0, 0, 2, 2, 2, 2, 2, 2]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 15, 16, 17, 50, 200])
+def test_bins_match_numpy_for_any_number(spark, n):
+    rng = np.random.default_rng(n)
+    edges = np.sort(rng.integers(0, 60, n + 1)).astype(float)  # with ties
+    xs = np.concatenate([edges, edges - 0.5, rng.uniform(-5, 70, 300)])
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    want = np.clip(np.digitize(xs, edges) - 1, 0, n - 1)
+    literal = G.assign_bins(df, "x", edges.tolist(), "b")
+    column = G.assign_bins(df.withColumn("e", F.array(*[F.lit(float(e)) for e in edges])), "x", F.col("e"), "b", n)
+    for out in (literal, column):
+        got = out.select("x", "b").toPandas()
+        assert dict(zip(got.x, got.b)) == dict(zip(xs, want))
+
+
 def test_null_edges_go_to_last_bin(spark):
     df = spark.createDataFrame([(1.0, None)], "x double, e array<double>")
     assert G.assign_bins(df, "x", F.col("e"), "b", 4).first().b == 3

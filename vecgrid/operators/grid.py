@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import prod
+from math import ceil, prod, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from vecgrid.operators.skew import lookup_join
 from vecgrid.session import stable
 
 DEFAULT_BINS = 50
-UNROLLED_EDGES = 128  # up to here the edge search is a decision tree in generated code
 LABEL_PATTERN = re.compile(r"^\d+_\d+_\d+$")
 
 
@@ -31,35 +30,34 @@ def quantile_edges(
     return quantiles(df, [col], even_probs(n_bins), by, method, rows).withColumnRenamed(col, "edges")
 
 
-def bin_of(x: str | Column, edges: Sequence[float] | Column, n_bins: int | None = None) -> Column:
-    """Bin number (bigint) of ``x``: bins are [lo, hi), the last one closed.
+def assign_bins(
+    df: DataFrame, col: str, edges: Sequence[float] | Column, out: str, n_bins: int | None = None
+) -> DataFrame:
+    """Add ``out``: the bin number (bigint) of ``col``. Bins are [lo, hi), the last one closed.
 
     Below range -> 0, above range, NaN and NULL -> last bin; among equal edges
     the last one wins. ``edges`` is a list or an array column (then give
-    ``n_bins``); NULL edges put every row in the last bin.
+    ``n_bins``); NULL edges put the row in the last bin.
+
+    The edges are searched in two steps, first a run of edges and then a place
+    within it, each by a small decision tree: one tree over all edges would make a
+    method too long for the JVM to compile.
     """
-    x = F.col(x) if isinstance(x, str) else x
-    x = F.coalesce(x.cast("double"), F.lit(float("nan")))
-    literal = not isinstance(edges, Column)
-    if literal:
+    if not isinstance(edges, Column):
         n_bins = len(edges) - 1
+        edges = F.array(*[F.lit(float(e)) for e in edges])
     if n_bins is None or n_bins < 1:
         raise ValueError("at least one bin is needed")
-    if n_bins + 1 <= UNROLLED_EDGES:
-        cut = [F.lit(float(e)) for e in edges] if literal else [F.get(edges, F.lit(i)) for i in range(n_bins + 1)]
-        reached = count_leading([e <= x for e in cut])
-        if not literal:
-            reached = F.when(edges.isNotNull(), reached)
-    else:
-        array = F.array(*[F.lit(float(e)) for e in edges]) if literal else edges
-        reached = F.when(array.isNotNull(), F.size(F.filter(array, lambda e: e <= x)))
     last = F.lit(n_bins - 1)
-    bin_no = F.coalesce(reached - 1, last)  # least/greatest would skip a NULL
-    return F.least(F.greatest(bin_no, F.lit(0)), last).cast("bigint")
-
-
-def assign_bins(df: DataFrame, col: str, edges: Sequence[float] | Column, out: str, n_bins: int | None = None) -> DataFrame:
-    return df.withColumn(out, bin_of(col, edges, n_bins))
+    run = ceil(sqrt(n_bins + 1))
+    x, at = F.col("_x"), (F.col("_run") - 1) * run
+    staged = df.withColumn("_x", F.coalesce(F.col(col).cast("double"), F.lit(float("nan")))).withColumn(
+        "_run", count_leading([F.get(edges, F.lit(i)) <= x for i in range(0, n_bins + 1, run)])
+    )
+    within = count_leading([F.get(edges, at + j) <= x for j in range(1, run)])  # past the end: NULL, not reached
+    bin_no = F.when(F.col("_run") > 0, at + within).otherwise(0)
+    bin_no = F.when(edges.isNotNull(), F.least(bin_no, last)).otherwise(last)
+    return staged.withColumn(out, bin_no.cast("bigint")).drop("_x", "_run")
 
 
 def bin_column(df: DataFrame, col: str, n_bins: int, out: str, method: str = "sketch") -> DataFrame:
@@ -106,12 +104,12 @@ def _add_level(df: DataFrame, model: GridModel, level: int) -> DataFrame:
     col, n = model.levels[level]
     names = model.bin_columns
     if level == 0:
-        return df.withColumn(names[0], bin_of(col, list(model.first)))
+        return assign_bins(df, col, list(model.first), names[0])
     parent = encode_cell(names[:level], model.sizes[:level])
     out = lookup_join(
         df.withColumn("_parent", parent), model.tables[level - 1], ["_parent"], row_bytes=8 * (n + 1) + 32
     )
-    return out.withColumn(names[level], bin_of(col, F.col("edges"), n)).drop("_parent", "edges")
+    return assign_bins(out, col, F.col("edges"), names[level], n).drop("_parent", "edges")
 
 
 def fit_grid(
