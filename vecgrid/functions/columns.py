@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,20 @@ def count_leading(tests: Sequence[Column]) -> Column:
     return branch(0, len(tests))
 
 
+def add_count_leading(df: DataFrame, test: Callable[[Column], Column], n: int, out: str) -> DataFrame:
+    """Add ``out``: how many of test(0) ... test(n - 1) hold, all true ones coming first.
+
+    Two steps, first the run of tests and then the place within it, each a small
+    decision tree: one tree over all tests would make a method too long for the JVM to
+    compile. ``test`` must give NULL or false for an index past the end.
+    """
+    run = ceil(sqrt(n))
+    runs = df.withColumn("_run", count_leading([test(F.lit(i)) for i in range(0, n, run)]))
+    at = (F.col("_run") - 1) * run
+    within = count_leading([test(at + j) for j in range(1, run)])
+    return runs.withColumn(out, F.when(F.col("_run") > 0, at + 1 + within).otherwise(0)).drop("_run")
+
+
 def widen(df: DataFrame, col: str, width: int, prefix: str = "fp_", keep: Sequence[str] | None = None) -> DataFrame:
     """Array column to ``prefix1 ... prefixN`` (1-based); missing positions are NULL."""
     keep = [c for c in df.columns if c != col] if keep is None else list(keep)

@@ -6,12 +6,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil, prod, sqrt
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecgrid.functions.columns import count_leading
+from vecgrid.functions.columns import add_count_leading
 from vecgrid.operators.quantiles import even_probs, quantiles
 from vecgrid.operators.skew import lookup_join
 from vecgrid.session import stable
@@ -38,10 +38,6 @@ def assign_bins(
     Below range -> 0, above range, NaN and NULL -> last bin; among equal edges
     the last one wins. ``edges`` is a list or an array column (then give
     ``n_bins``); NULL edges put the row in the last bin.
-
-    The edges are searched in two steps, first a run of edges and then a place
-    within it, each by a small decision tree: one tree over all edges would make a
-    method too long for the JVM to compile.
     """
     if not isinstance(edges, Column):
         n_bins = len(edges) - 1
@@ -49,15 +45,12 @@ def assign_bins(
     if n_bins is None or n_bins < 1:
         raise ValueError("at least one bin is needed")
     last = F.lit(n_bins - 1)
-    run = ceil(sqrt(n_bins + 1))
-    x, at = F.col("_x"), (F.col("_run") - 1) * run
-    staged = df.withColumn("_x", F.coalesce(F.col(col).cast("double"), F.lit(float("nan")))).withColumn(
-        "_run", count_leading([F.get(edges, F.lit(i)) <= x for i in range(0, n_bins + 1, run)])
-    )
-    within = count_leading([F.get(edges, at + j) <= x for j in range(1, run)])  # past the end: NULL, not reached
-    bin_no = F.when(F.col("_run") > 0, at + within).otherwise(0)
-    bin_no = F.when(edges.isNotNull(), F.least(bin_no, last)).otherwise(last)
-    return staged.withColumn(out, bin_no.cast("bigint")).drop("_x", "_run")
+    x = F.col("_x")
+    staged = df.withColumn("_x", F.coalesce(F.col(col).cast("double"), F.lit(float("nan"))))
+    staged = add_count_leading(staged, lambda i: F.get(edges, i) <= x, n_bins + 1, "_reached")
+    bin_no = F.least(F.greatest(F.col("_reached") - 1, F.lit(0)), last)
+    bin_no = F.when(edges.isNotNull(), bin_no).otherwise(last)
+    return staged.withColumn(out, bin_no.cast("bigint")).drop("_x", "_reached")
 
 
 def bin_column(df: DataFrame, col: str, n_bins: int, out: str, method: str = "sketch") -> DataFrame:

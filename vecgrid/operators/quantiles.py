@@ -17,7 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecgrid.functions.columns import count_leading
 from vecgrid.operators.ranking import running_total
 from vecgrid.operators.skew import null_safe_join
 
@@ -129,8 +128,7 @@ def _sorted_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str]
     start = F.col("_end") - F.col("_n")
     holds = lambda at: (at >= start) & (at < F.col("_end"))
     hits = (
-        cum.filter(F.col("_n") > 0)
-        .filter(_touches(probs))
+        cum.filter((F.col("_n") > 0) & _near_position(probs))
         .select(*by, "_v", "_n", "_end", "_size", F.explode(wanted).alias("_w"))
         .withColumn("_pos", pos)
         .withColumn("_low", F.when(holds(F.floor("_pos")), F.col("_v")))
@@ -149,10 +147,16 @@ def _sorted_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str]
     return _join_groups(counted.select(*by).distinct(), gathered, by)
 
 
-def _touches(probs: list[float]) -> Column:
-    """Does the row hold the position of any probability, or of the value after it?"""
-    start, end, last = F.col("_end") - F.col("_n"), F.col("_end"), F.col("_size") - 1
-    ordered = sorted(probs)
-    first_ahead = count_leading([F.ceil(last * p) < start for p in ordered])
-    p = F.get(F.array(*[F.lit(p) for p in ordered]), first_ahead)  # NULL if none is ahead
-    return F.floor(last * p) < end
+def _near_position(probs: list[float]) -> Column:
+    """False for most rows that hold no wanted position, true for all that do.
+
+    If all probabilities are multiples of 1/m, a row can be told to lie between two
+    neighbouring positions by plain arithmetic, however many there are.
+    """
+    m = next((m for m in range(1, 10_001) if all(abs(p * m - round(p * m)) < 1e-9 for p in probs)), None)
+    if m is None:
+        return F.lit(True)
+    last = F.col("_size") - 1
+    first, after = F.col("_end") - F.col("_n") - 1, F.col("_end")
+    crossed = F.floor(after * m / last + 1e-6) >= F.ceil(first * m / last - 1e-6)
+    return F.when(last > 0, crossed).otherwise(True)
