@@ -41,10 +41,12 @@ def count_leading(tests: Sequence[Column]) -> Column:
 def add_count_leading(df: DataFrame, test: Callable[[Column], Column], n: int, out: str) -> DataFrame:
     """Add ``out``: how many of test(0) ... test(n - 1) hold, all true ones coming first.
 
-    Two steps, first the run of tests and then the place within it, each a small
-    decision tree: one tree over all tests would make a method too long for the JVM to
-    compile. ``test`` must give NULL or false for an index past the end.
+    Beyond a few tests it takes two steps, first the run of tests and then the place
+    within it, each a small decision tree: one tree over all tests would make a method
+    too long for the JVM to compile. ``test`` must give NULL or false past the end.
     """
+    if n <= 16:
+        return df.withColumn(out, count_leading([test(F.lit(i)) for i in range(n)]))
     run = ceil(sqrt(n))
     runs = df.withColumn("_run", count_leading([test(F.lit(i)) for i in range(0, n, run)]))
     at = (F.col("_run") - 1) * run
