@@ -21,7 +21,9 @@ from vecgrid.llm.common import Memo, per_text, ragged_take, slices, text_of, wor
 
 FEATURES = 1 << 18
 SENTENCE_WORDS = 40  # a longer run without an end of sentence is cut after so many tokens
-MAX_TRAIN_DOCS = 6_000  # bound of the labelled sample that a model is fitted on
+MIN_DEVIATIONS = 6.0
+START_BIAS = -9.0
+MAX_TRAIN_DOCS = 10_000  # bound of the labelled sample that a model is fitted on
 MAX_TRAIN_CHARS = 60_000  # longer texts are not drawn into that sample; all are scored
 _WORD = re.compile(r"\w+")
 
@@ -37,7 +39,7 @@ class ToxicityModel:
 def word_features(word: str) -> list[int]:
     """Hashed features: the word, and its character runs of 3 to 6 with its ends marked."""
     marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)}
+    grams = {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
     grams.add(f"={word}")
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % FEATURES for g in sorted(grams)]
 
@@ -64,29 +66,26 @@ def ends_sentence(token: str) -> bool:
     return token.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", "…", "。")
 
 
-def fit(
-    labelled: DataFrame,
-    text_col: str = "text",
-    label_col: str = "label",
-    order_col: str = "_order",
-    epochs: int = 150,
-    rate: float = 0.3,
-    decay: float = 1e-5,
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "_order") -> ToxicityModel:
+    """Fit on ``labelled``, a sample that the caller has bounded (see ``training_sample``); rows with a NULL label are left out."""
+    rows = labelled.filter(F.col(label_col).isNotNull()).select(order_col, label_col, text_col).collect()
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1], r[2] or ""))
+    return fit_texts([r[2] or "" for r in rows], [float(r[1]) for r in rows])
+
+
+def fit_texts(
+    texts: list[str], labels: list[float], epochs: int = 400, rate: float = 0.3, decay: float = 1e-5
 ) -> ToxicityModel:
-    """Fit on ``labelled``, a sample that the caller has bounded (see ``training_sample``).
+    """Full-batch AdaGrad on the noisy-or likelihood.
 
-    Full-batch AdaGrad on the noisy-or likelihood. Rows with a NULL label are left out; without any row, or with one
-    label only, the model is a constant: the rate of label 1, smoothed.
+    Without any text, or with one label only, the model is a constant: the rate of label 1, smoothed.
     """
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(order_col, label_col, text_col)
-    rows = sorted(rows.collect(), key=lambda r: (r[0] is None, r[0], r[1], r[2] or ""))
-    y = np.array([float(r[1]) for r in rows])
+    y = np.array(labels, float)
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
         return ToxicityModel(np.zeros(FEATURES, np.float32), float(np.log(p / (1 - p))))
     vocabulary: dict[str, int] = {}
-    different, token, at = words(pa.array([r[2] or "" for r in rows], pa.string()))
-    del rows
+    different, token, at = words(pa.array(texts, pa.string()))
     inside = [[vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.lower())] for t in different]
     sentence, doc = sentence_numbers(np.array([ends_sentence(t) for t in different])[token], at)
     sizes = np.array([len(x) for x in inside], np.int64)
@@ -96,9 +95,16 @@ def fit(
     lists = [word_features(w) for w in vocabulary]
     of_word = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     feature = np.array([f for x in lists for f in x], np.int32)
-    used, feature = np.unique(feature, return_inverse=True)
-
-    weights, bias = np.zeros(len(used)), -4.0
+    used = np.flatnonzero(_telling(doc[sent], word, feature, of_word, y))
+    place = np.full(FEATURES, -1, np.int64)
+    place[used] = np.arange(len(used))
+    known = place[feature] >= 0
+    feature, of_word = place[feature[known]], of_word[known]
+    matters = np.bincount(of_word, minlength=len(lists)) > 0
+    pairs = np.unique(sent[matters[word]].astype(np.int64) << 32 | word[matters[word]])  # a word counts once in a sentence
+    sent, word = pairs >> 32, pairs & 0xFFFFFFFF
+
+    weights, bias = np.zeros(len(used)), START_BIAS
     seen, seen_bias = np.full(len(used), 1e-8), 1e-8
     for _ in range(epochs):
         by_word = np.bincount(of_word, weights[feature], len(lists))
@@ -120,6 +126,18 @@ def fit(
     return ToxicityModel(full, float(bias))
 
 
+def _telling(doc: np.ndarray, word: np.ndarray, feature: np.ndarray, of_word: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which features are in toxic documents far more often than chance has it: by over ``MIN_DEVIATIONS`` standard
+    deviations. Counted are different words of documents; features of the many words that are seen once stay out."""
+    pairs = np.unique(doc.astype(np.int64) << 32 | word)
+    toxic, own = y[pairs >> 32] > 0.5, pairs & 0xFFFFFFFF
+    n = int(of_word.max(initial=-1)) + 1
+    good = np.bincount(feature, np.bincount(own[toxic], minlength=n)[of_word], FEATURES)
+    every = np.bincount(feature, np.bincount(own, minlength=n)[of_word], FEATURES)
+    expected = every * toxic.mean() if len(toxic) else every
+    return good - expected > MIN_DEVIATIONS * np.sqrt(np.maximum(expected, 1e-9))
+
+
 def training_sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -182,7 +200,10 @@ def _batch_maker(model: ToxicityModel) -> Callable[[], Callable[[pa.Array], list
             facts = known.of(different)
             score = np.array([f[0] for f in facts])[token]
             sentence, doc = sentence_numbers(np.array([f[1] for f in facts], bool)[token], at)
-            z = np.clip(bias + np.bincount(sentence, score, len(doc)), -500, 500)
+            told = np.flatnonzero(score)
+            pairs = np.unique(sentence[told] << 32 | token[told])  # a token counts once in a sentence
+            sums = np.bincount(pairs >> 32, np.array([f[0] for f in facts])[pairs & 0xFFFFFFFF], len(doc))
+            z = np.clip(bias + sums, -500, 500)
             safe = np.bincount(doc, -np.logaddexp(0, z), len(texts))  # log of the chance that no sentence offends
             p = 1 / (1 + np.exp(-z))
             offending: list[list[dict]] = [[] for _ in range(len(texts))]
