@@ -21,7 +21,6 @@ from vecgrid.llm.common import Memo, per_text, ragged_take, slices, text_of, wor
 
 FEATURES = 1 << 18
 SENTENCE_WORDS = 40  # a longer run without an end of sentence is cut after so many tokens
-MIN_DEVIATIONS = 6.0
 START_BIAS = -9.0
 MAX_TRAIN_DOCS = 10_000  # bound of the labelled sample that a model is fitted on
 MAX_TRAIN_CHARS = 60_000  # longer texts are not drawn into that sample; all are scored
@@ -127,15 +126,16 @@ def fit_texts(
 
 
 def _telling(doc: np.ndarray, word: np.ndarray, feature: np.ndarray, of_word: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which features are in toxic documents far more often than chance has it: by over ``MIN_DEVIATIONS`` standard
-    deviations. Counted are different words of documents; features of the many words that are seen once stay out."""
+    """Which features are in toxic documents far more often than chance has it: by more standard deviations than the largest
+    of so many features would be by chance. Counted are different words of documents; words that are seen once stay out."""
     pairs = np.unique(doc.astype(np.int64) << 32 | word)
     toxic, own = y[pairs >> 32] > 0.5, pairs & 0xFFFFFFFF
     n = int(of_word.max(initial=-1)) + 1
     good = np.bincount(feature, np.bincount(own[toxic], minlength=n)[of_word], FEATURES)
     every = np.bincount(feature, np.bincount(own, minlength=n)[of_word], FEATURES)
     expected = every * toxic.mean() if len(toxic) else every
-    return good - expected > MIN_DEVIATIONS * np.sqrt(np.maximum(expected, 1e-9))
+    deviations = np.sqrt(2 * np.log(max(2, np.count_nonzero(every))))
+    return good - expected > deviations * np.sqrt(np.maximum(expected, 1e-9))
 
 
 def training_sample(
