@@ -54,7 +54,7 @@ def test_split_valid_keeps_every_row(spark):
 @pytest.mark.parametrize("kind,width", [("mhfp", 512), ("MQN", 27), ("mapc", 1024), ("morgan", 1024)])
 def test_dispatch_widths_with_bad_row_and_single_row(spark, kind, width):
     df = spark.createDataFrame([("C1CCCCC1",), (None,)], "smiles string")
-    opts = {} if kind == "MQN" else {"tokenizer": "smiles"}
+    opts = {}
     got = X.featurize(df, kind=kind, descriptors=True, **opts).collect()
     assert [len(r.fp) if r.fp is not None else None for r in got] == [width, None]
     assert got[0].hac == 6
@@ -72,7 +72,7 @@ def test_minhash_definition_and_jaccard(spark):
         " ".join(f"w{i * j % 97}" for j in range(400)) for i in range(1, 30)
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    sig = [r.s for r in X.minhash(df, "t", "s", 256).orderBy("i").collect()]
+    sig = [r.s for r in X.minhash(df, "t", "s", 256, tokenizer="words").orderBy("i").collect()]
     a, b = X.permutation_params(256)
     for text, got in zip(texts, sig, strict=True):
         if text is None or not text.strip():
@@ -87,7 +87,7 @@ def test_minhash_definition_and_jaccard(spark):
 
 def test_hashed_bits_definition(spark):
     df = spark.createDataFrame([("a b c a b",), ("x",), ("",), (None,)], "t string")
-    rows = X.dense_bits(df.select(X.hashed_bits("t", 64, 2).alias("s")), "s", 64, "d").collect()
+    rows = X.dense_bits(df.select(X.hashed_bits("t", 64, 2, "words").alias("s")), "s", 64, "d").collect()
     runs = ["a", "b", "c", "a b", "b c", "c a", "a b c", "b c a", "c a b"]
     want = sorted({X._hash32_py(r) % 64 for r in runs})
     assert list(rows[0].s) == want

@@ -64,7 +64,7 @@ def nested_numpy(pdf, levels):
     return ids
 
 
-@pytest.mark.parametrize("method", ["exact", "exact_sort"])
+@pytest.mark.parametrize("method", ["exact", "exact_gather"])
 def test_hierarchy_matches_numpy(table, method):
     levels = [("c_acctbal", 4), ("c_nationkey", 3), ("c_custkey", 5)]
     df = table("customer").select("c_custkey", "c_acctbal", "c_nationkey")
@@ -116,6 +116,8 @@ def test_label_rules(spark):
     assert got == [(1, 2, 3)] + [(None, None, None)] * 4
     with pytest.raises(ValueError):
         G.select_cell(df, "1_2")
+    with pytest.raises(ValueError):  # a part past its size would name another cell
+        G.select_cell(df, "0_5_0", [5, 5, 5])
 
 
 def test_select_cell_three_forms(spark):
@@ -151,7 +153,7 @@ def test_third_of_rows_at_one_value(spark):
         F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 6000).alias("a"),
         F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.col("id") * 1.0).alias("b"),
     )
-    for method in ("exact", "exact_sort", "sketch", "approx"):
+    for method in ("exact", "exact_gather", "sketch", "approx"):
         out = G.hierarchical_bins(rows, [("a", 10), ("b", 4)], method).toPandas()
         assert len(out) == 6000
         tied = out[out.id % 3 == 0]

@@ -6,6 +6,7 @@ from vecgrid.functions.features import minhash
 from vecgrid.operators import maps as M
 from vecgrid.operators import neighbours as N
 from vecgrid.operators.forest import spanning_forest
+from vecgrid.plans import jobs
 
 
 def kruskal(edges):
@@ -47,13 +48,7 @@ def test_forest_equals_kruskal(spark, shape):
     assert got == kruskal(edges)
 
 
-def test_forest_with_shuffled_lookups(spark, monkeypatch):
-    from vecgrid.operators import forest, skew
-
-    def no_broadcast(rows, table, on, row_bytes):
-        return skew.lookup_join(rows, table, on, row_bytes, hot_rows=20, broadcast_bytes=2000)
-
-    monkeypatch.setattr(forest, "lookup_join", no_broadcast)
+def test_forest_with_hot_labels(spark):
     edges = [(0, i, float(i % 3)) for i in range(1, 60)] + [(i, (i * 7) % 60, 0.5) for i in range(60)]
     df = spark.createDataFrame(edges, "src long, dst long, weight double")
     assert {tuple(r) for r in spanning_forest(df).collect()} == kruskal(edges)
@@ -90,13 +85,17 @@ def test_knn_coords_string_ids_and_few_rows(spark):
 def brute_minhash(sigs, trees, window, k):
     width = len(next(iter(sigs.values())))
     depth = width // trees
-    cand = {i: {} for i in sigs}
+    members = {}
+    for i, s in sigs.items():
+        members.setdefault(tuple(s), []).append(i)
+    cand = {i: {j: width for j in members[tuple(s)] if j != i} for i, s in sigs.items()}
     for t in range(trees):
-        order = sorted(sigs, key=lambda i: (list(sigs[i][t * depth : (t + 1) * depth]), i))
-        for p, i in enumerate(order):
-            for j in order[max(0, p - window) : p + window + 1]:
-                if j != i:
-                    cand[i][j] = sum(a == b for a, b in zip(sigs[i], sigs[j], strict=True))
+        order = sorted(members, key=lambda s: s[t * depth :] + s[: t * depth])
+        for p, a in enumerate(order):
+            for b in order[max(0, p - window) : p + window + 1]:
+                for i in members[a] if a != b else ():
+                    for j in members[b]:
+                        cand[i][j] = sum(x == y for x, y in zip(a, b, strict=True))
     out = set()
     for i, c in cand.items():
         ranked = sorted(((-m, j) for j, m in c.items() if m > 0))[:k]
@@ -107,7 +106,7 @@ def brute_minhash(sigs, trees, window, k):
 @pytest.mark.parametrize("block_rows", [1, 32, 5000])
 def test_knn_minhash_definition(table, block_rows):
     docs = table("documents").filter("doc_id < 260").repartition(3)
-    signed = minhash(docs.select("doc_id", "text"), "text", "sig", 32).drop("text")
+    signed = minhash(docs.select("doc_id", "text"), "text", "sig", 32, tokenizer="words").drop("text")
     sigs = {r.doc_id: list(r.sig) for r in signed.collect() if r.sig is not None}
     got = N.knn_minhash(signed, "doc_id", "sig", 32, k=4, trees=4, kc=4, block_rows=block_rows)
     got = {(r.src, r.dst, r.matches, r["rank"]) for r in got.collect()}
@@ -118,7 +117,7 @@ def test_knn_minhash_with_a_third_copies(spark):
     text = F.when(F.col("id") % 3 == 0, F.lit("same words in every copy here")).otherwise(
         F.concat_ws(" ", *[F.md5((F.col("id") + i).cast("string")) for i in range(6)])
     )
-    signed = minhash(spark.range(600).select("id", text.alias("t")), "t", "sig", 16, shingle=1)
+    signed = minhash(spark.range(600).select("id", text.alias("t")), "t", "sig", 16, shingle=1, tokenizer="words")
     got = N.knn_minhash(signed, "id", "sig", 16, k=5, trees=4, block_rows=64).toPandas()
     copies = got[got.src % 3 == 0]
     assert (copies.groupby("src").size() == 5).all() and (copies.matches == 16).all() and len(copies) == 1000
@@ -127,9 +126,39 @@ def test_knn_minhash_with_a_third_copies(spark):
         N.knn_minhash(signed, "id", "sig", 32)
 
 
+def test_knn_sees_past_many_copies_and_repeated_ids(spark):
+    """600 near copies of one text, far more than a window, and rows that repeat an id."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1000, 64)
+    rows = []
+    for i in range(600):
+        sig = base.copy()
+        sig[rng.choice(64, i % 7, replace=False)] = rng.integers(1000, 2000, i % 7)
+        rows.append((i, sig.tolist()))
+    df = spark.createDataFrame([*rows, *rows[:50]], "id long, sig array<int>")
+    got = N.knn_minhash(df, "id", "sig", 64, k=10, kc=100).toPandas()
+    mat = np.array([s for _, s in rows])
+    assert (got.src != got.dst).all() and not got.duplicated(["src", "dst"]).any() and (got.groupby("src").size() == 10).all()
+    want = np.array([np.sort((mat == m).sum(axis=1))[::-1][1:11] for m in mat])
+    have = got.sort_values(["src", "rank"]).matches.to_numpy().reshape(600, 10)
+    assert (have == want).mean() > 0.7 and (have[:, 0] == want[:, 0]).mean() > 0.95
+
+
+def test_smiles_map_has_edges(spark):
+    names = ["CCO", "CCN", "CCC", "CCCC", "CCCO", "c1ccccc1", "c1ccccc1C", "c1ccccc1CC", "CC(=O)O", "CC(=O)OC"]
+    df = spark.createDataFrame([(n, float(i), 0.0, 0.0, i % 2) for i, n in enumerate(names)], "smiles string, PCA_1 double, PCA_2 double, PCA_3 double, cluster_id long")
+    for options in ({"kind": "mhfp"}, {"kind": "mapc"}, {"by_coords": True}):
+        nodes, edges = jobs.map_job(df, sizes=(2, 2, 2), label="0_0_1", k=4, **options)
+        assert nodes.count() == 5 and edges.count() > 0, options
+    nodes, _ = jobs.map_job(df, sizes=(2, 2, 2), k=4)
+    assert sorted(r.label.split("__")[1] for r in nodes.collect()) == [
+        f'<a href="/generate/{c}" target="_blank">{c}</a>' for c in ("0_0_0", "0_0_1")
+    ]
+
+
 def test_knn_finds_close_texts(table):
     docs = table("documents")
-    signed = minhash(docs.select("doc_id", "text"), "text", "sig", 64).drop("text")
+    signed = minhash(docs.select("doc_id", "text"), "text", "sig", 64, tokenizer="words").drop("text")
     pdf = signed.toPandas()
     sig = np.stack(pdf.sig.to_numpy())
     best = np.array([np.sort((sig[i] == sig).sum(axis=1))[-2] for i in range(len(sig))])
@@ -154,7 +183,7 @@ def test_labels_codes_properties(spark):
 
 def test_build_map_both_ways(table):
     docs = table("documents").filter("doc_id < 150")
-    nodes, edges = M.build_map(docs, "doc_id", "text", k=5, permutations=32, trees=4, cat_cols=["lang"])
+    nodes, edges = M.build_map(docs, "doc_id", "text", k=5, permutations=32, trees=4, cat_cols=["lang"], tokenizer="words")
     assert nodes.count() == 150 and "lang_code" in nodes.columns
     pairs = [(r.src, r.dst) for r in edges.collect()]
     assert len(kruskal([(a, b, 1.0) for a, b in pairs])) == len(pairs)  # no cycle

@@ -69,16 +69,12 @@ def to_vector(df: DataFrame, cols: Sequence[str], out: str = "fp", dtype: str =
 def matrix_of(arr: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows x width) matrix of the usable vectors and the mask of usable rows.
 
-    A NULL vector, or one holding NULL or NaN, is unusable; a vector of another width
-    is an error.
+    A NULL vector, one of another width, or one holding NULL, NaN or an infinite value is unusable.
     """
-    ok = np.asarray(arr.is_valid())
-    lengths = np.asarray(arr.value_lengths().fill_null(width))
-    if (lengths != width).any():
-        raise ValueError(f"vector of width {lengths[lengths != width][0]}, expected {width}")
-    flat = arr.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    ok = np.asarray(arr.value_lengths().fill_null(-1)) == width
+    flat = arr.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     mat = flat.reshape(-1, width)
-    good = ~np.isnan(mat).any(axis=1)
+    good = np.isfinite(mat).all(axis=1)
     if not good.all():
         mat = mat[good]
         ok = ok.copy()

@@ -75,8 +75,8 @@ PROFILES = {"smiles": SMILES_PATTERNS, "text": TEXT_PATTERNS}
 # ---------------------------------------------------------------- shingles
 
 
-def tokens_of(col: str | Column, tokenizer: str = "words") -> Column:
-    """``words`` (runs without white space), ``smiles`` units, or ``chars``."""
+def tokens_of(col: str | Column, tokenizer: str = "smiles") -> Column:
+    """``smiles`` units ``words`` (runs without white space), or ``chars``."""
     text = as_column(col)
     if tokenizer == "words":
         return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -111,7 +111,7 @@ def _hash32_py(text: str) -> int:
 # ---------------------------------------------------------------- bit vector
 
 
-def hashed_bits(col: str | Column, n_bits: int = 1024, radius: int = 2, tokenizer: str = "words") -> Column:
+def hashed_bits(col: str | Column, n_bits: int = 1024, radius: int = 2, tokenizer: str = "smiles") -> Column:
     """Folded bit vector over token runs of length 1 ... radius + 1, as the sorted
     distinct positions of its set bits. NULL if the string has no token."""
 
@@ -148,7 +148,7 @@ def permutation_params(permutations: int, seed: int = 42) -> tuple[np.ndarray, n
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
-def shingle_hashes(col: str | Column, shingle: int = 3, tokenizer: str = "words") -> Column:
+def shingle_hashes(col: str | Column, shingle: int = 3, tokenizer: str = "smiles") -> Column:
     """Distinct hashes (mod 2^31 - 1) of all token runs of length ``shingle``; a
     shorter string counts as one run, one without tokens gives NULL."""
 
@@ -167,7 +167,7 @@ def minhash(
     permutations: int = 512,
     shingle: int = 3,
     seed: int = 42,
-    tokenizer: str = "words",
+    tokenizer: str = "smiles",
 ) -> DataFrame:
     """Add the MinHash signature (array<int>): the share of equal positions of two
     rows estimates the Jaccard similarity of their shingle sets."""
@@ -295,7 +295,10 @@ register_featurizer("mqn", count_profile)
 def featurize(
     df: DataFrame, col: str = "smiles", kind: str = "mqn", out: str = "fp", descriptors: bool = False, **options
 ) -> DataFrame:
-    """Add the feature vector, and the string descriptors if wanted, to every row."""
+    """Add the feature vector, and the string descriptors if wanted, to every row.
+
+    Strings are cut into SMILES units; pass ``tokenizer="words"`` for prose. A string without any unit gets NULL.
+    """
     run = _REGISTRY.get(kind.lower())
     if run is None:
         raise ValueError(f"unknown feature kind {kind!r}, known: {sorted(_REGISTRY)}")

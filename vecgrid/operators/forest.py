@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from vecgrid.operators.skew import lookup_join
 from vecgrid.session import stable
 
-LABEL_BYTES = 96
-
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest (src < dst, weight) of edges (src, dst, weight).
@@ -48,8 +46,8 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         )
         parents = chosen.select(F.explode(links).alias("l")).select("l.*").filter(F.col("c").isNotNull())
         roots = _roots(stable(parents))
-        moved = lookup_join(live, roots.select(F.col("c").alias("cu"), F.col("p").alias("ru")), ["cu"], LABEL_BYTES)
-        moved = lookup_join(moved, roots.select(F.col("c").alias("cv"), F.col("p").alias("rv")), ["cv"], LABEL_BYTES)
+        moved = lookup_join(live, roots.select(F.col("c").alias("cu"), F.col("p").alias("ru")), ["cu"])
+        moved = lookup_join(moved, roots.select(F.col("c").alias("cv"), F.col("p").alias("rv")), ["cv"])
         live = stable(
             moved.filter(F.col("ru") != F.col("rv"))
             .groupBy(F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv"))
@@ -65,7 +63,7 @@ def _roots(parents: DataFrame) -> DataFrame:
     """Follow parent links (c, p) to the root, doubling the reach each time."""
     while True:
         table = parents.select(F.col("c").alias("p"), F.col("p").alias("g"))
-        jumped = stable(lookup_join(parents, table, ["p"], LABEL_BYTES))
+        jumped = stable(lookup_join(parents, table, ["p"]))
         if jumped.filter(F.col("p") != F.col("g")).isEmpty():
             return parents
         parents = jumped.select("c", F.col("g").alias("p"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecgrid.functions.columns import add_count_leading
@@ -24,10 +24,10 @@ LABEL_PATTERN = re.compile(r"^\d+_\d+_\d+$")
 
 
 def quantile_edges(
-    df: DataFrame, col: str, n_bins: int, by: Sequence[str] = (), method: str = "sketch", rows: int | None = None
+    df: DataFrame, col: str, n_bins: int, by: Sequence[str] = (), method: str = "sketch"
 ) -> DataFrame:
     """``by`` columns plus ``edges``: the n_bins + 1 cut points of ``col``."""
-    return quantiles(df, [col], even_probs(n_bins), by, method, rows).withColumnRenamed(col, "edges")
+    return quantiles(df, [col], even_probs(n_bins), by, method).withColumnRenamed(col, "edges")
 
 
 def assign_bins(
@@ -45,12 +45,12 @@ def assign_bins(
     if n_bins is None or n_bins < 1:
         raise ValueError("at least one bin is needed")
     last = F.lit(n_bins - 1)
-    x = F.col("_x")
-    staged = df.withColumn("_x", F.coalesce(F.col(col).cast("double"), F.lit(float("nan"))))
+    x = F.col("_grid_x")
+    staged = df.withColumn("_grid_x", F.coalesce(F.col(col).cast("double"), F.lit(float("nan"))))
     staged = add_count_leading(staged, lambda i: F.get(edges, i) <= x, n_bins + 1, "_reached")
     bin_no = F.least(F.greatest(F.col("_reached") - 1, F.lit(0)), last)
     bin_no = F.when(edges.isNotNull(), bin_no).otherwise(last)
-    return staged.withColumn(out, bin_no.cast("bigint")).drop("_x", "_reached")
+    return staged.withColumn(out, bin_no.cast("bigint")).drop("_grid_x", "_reached")
 
 
 def bin_column(df: DataFrame, col: str, n_bins: int, out: str, method: str = "sketch") -> DataFrame:
@@ -64,6 +64,9 @@ def bin_column(df: DataFrame, col: str, n_bins: int, out: str, method: str = "sk
 # ---------------------------------------------------------------- hierarchy
 
 
+GRID_SCHEMA = "kind int, level int, col string, bins int, prefix string, edges array<double>, parent bigint"
+
+
 @dataclass(frozen=True)
 class GridModel:
     """Frozen edges of a nested grid: level l has one edge list per parent cell.
@@ -99,10 +102,9 @@ def _add_level(df: DataFrame, model: GridModel, level: int) -> DataFrame:
     if level == 0:
         return assign_bins(df, col, list(model.first), names[0])
     parent = encode_cell(names[:level], model.sizes[:level])
-    out = lookup_join(
-        df.withColumn("_parent", parent), model.tables[level - 1], ["_parent"], row_bytes=8 * (n + 1) + 32
-    )
-    return assign_bins(out, col, F.col("edges"), names[level], n).drop("_parent", "edges")
+    table = model.tables[level - 1].select(F.col("_parent").alias("_grid_parent"), F.col("edges").alias("_grid_edges"))
+    out = lookup_join(df.withColumn("_grid_parent", parent), table, ["_grid_parent"])
+    return assign_bins(out, col, F.col("_grid_edges"), names[level], n).drop("_grid_parent", "_grid_edges")
 
 
 def fit_grid(
@@ -114,16 +116,16 @@ def fit_grid(
     assignment all use the same numbers even where the method is randomised.
     """
     levels = _checked(levels)
-    slim = df.select(*dict.fromkeys(c for c, _ in levels))
-    rows = slim.count() if method == "exact" else None
+    # The levels' numbers alone are kept: whatever computes them, features and projection say, runs once.
+    slim = stable(df.select(*dict.fromkeys(c for c, _ in levels)))
     col, n = levels[0]
-    first = quantile_edges(slim, col, n, method=method, rows=rows).first()["edges"]
+    first = quantile_edges(slim, col, n, method=method).first()["edges"]
     model = GridModel(levels, prefix, tuple(first or [float("nan")] * (n + 1)), ())
     binned = _add_level(slim, model, 0)
     for level in range(1, len(levels)):
         col, n = levels[level]
         parent = encode_cell(model.bin_columns[:level], model.sizes[:level])
-        edges = quantile_edges(binned.withColumn("_parent", parent), col, n, ["_parent"], method, rows)
+        edges = quantile_edges(binned.withColumn("_parent", parent), col, n, ["_parent"], method)
         model = GridModel(levels, prefix, model.first, (*model.tables, stable(edges)))
         if level + 1 < len(levels):
             binned = _add_level(binned, model, level)
@@ -144,6 +146,29 @@ def hierarchical_bins(
     return apply_grid(df, fit_grid(df, levels, method, prefix))
 
 
+def save_grid(spark: SparkSession, model: GridModel, path: str, mode: str = "errorifexists") -> None:
+    """Write the edges of all levels to folder ``path``, one row per level and parent cell."""
+    head = [(0, i, c, n, model.prefix, list(model.first) if i == 0 else None, None) for i, (c, n) in enumerate(model.levels)]
+    rows = spark.createDataFrame(head, GRID_SCHEMA)
+    for level, table in enumerate(model.tables, start=1):
+        fields = [F.lit(1), F.lit(level), F.lit(None), F.lit(None), F.lit(None), F.col("edges"), F.col("_parent").cast("bigint")]
+        rows = rows.unionByName(table.select(*[f.alias(n) for f, n in zip(fields, rows.columns, strict=True)]))
+    rows.write.mode(mode).parquet(path)
+
+
+def load_grid(spark: SparkSession, path: str) -> GridModel:
+    """Read a saved grid; its deeper edges stay a table of that folder."""
+    rows = spark.read.schema(GRID_SCHEMA).parquet(path)
+    head = rows.filter("kind = 0").orderBy("level").collect()  # one row per level
+    if not head:
+        raise ValueError(f"no grid at {path}")
+    tables = [
+        rows.filter((F.col("kind") == 1) & (F.col("level") == level)).select(F.col("parent").alias("_parent"), "edges")
+        for level in range(1, len(head))
+    ]
+    return GridModel(tuple((r["col"], r["bins"]) for r in head), head[0]["prefix"], tuple(head[0]["edges"]), tuple(tables))
+
+
 # ---------------------------------------------------------------- cell ids
 
 
@@ -195,6 +220,8 @@ def select_cell(df: DataFrame, label: str, sizes: Sequence[int] | None = None, p
     if not LABEL_PATTERN.match(label):
         raise ValueError(f"cell label {label!r} is not of the form int_int_int")
     parts = [int(p) for p in label.split("_")]
+    if sizes is not None and any(p >= n for p, n in zip(parts, sizes, strict=True)):
+        raise ValueError(f"cell label {label!r} is outside of a grid of {tuple(sizes)}")
     names = [f"{prefix}{i + 1}" for i in range(3)]
     present = [(n, p) for n, p in zip(names, parts, strict=True) if n in df.columns]
     cond = reduce(lambda a, b: a & b, [F.col(n) == p for n, p in present], F.lit(True))
@@ -253,7 +280,7 @@ def representatives(df: DataFrame, coords: Sequence[str], cell: str, id_col: str
     )
     payload = [c for c in dict.fromkeys([*coords, *keep]) if c not in (cell, id_col)]
     slim = rows.select(cell, id_col, *payload)
-    near = lookup_join(slim, centroids, [cell], row_bytes=8 * len(coords) + 64)
+    near = lookup_join(slim, centroids, [cell])
     dist2 = reduce(
         lambda a, b: a + b, [F.pow(F.col(c) - F.col(n), 2.0) for c, n in zip(coords, centre, strict=True)]
     )

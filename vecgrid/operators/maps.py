@@ -55,7 +55,7 @@ def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame
     """Add the code of each row's category."""
     out = out or f"{col}_code"
     legend = stable(category_legend(df, col).select(F.col("value").alias("_cat"), F.col("code").alias(out)))
-    return lookup_join(df.withColumn("_cat", _text(col)), legend, ["_cat"], row_bytes=256).drop("_cat")
+    return lookup_join(df.withColumn("_cat", _text(col)), legend, ["_cat"]).drop("_cat")
 
 
 def property_columns(df: DataFrame, col: str = "smiles") -> DataFrame:
@@ -88,19 +88,47 @@ def build_map(
     trees: int = 8,
     cat_cols: Sequence[str] = (),
     link: bool = False,
-    **minhash_options,
+    kind: str = "mhfp",
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a map: the spanning forest of the neighbour graph.
 
-    Neighbours come from MinHash signatures of ``col``, or from ``coords`` if given.
+    Neighbours come from signatures of ``col`` (see ``map_edges``), or from ``coords`` if given.
     """
-    if coords:
-        graph = knn_coords(df, id_col, coords, k)
-    else:
-        signed = features.minhash(df.select(id_col, col), col, "_sig", permutations, **minhash_options)
-        graph = knn_minhash(signed, id_col, "_sig", permutations, k, trees)
-    edges = spanning_forest(graph)
+    return map_nodes(df, col, cat_cols, link), map_edges(df, id_col, col, coords, k, permutations, trees, kind, **options)
+
+
+def map_nodes(df: DataFrame, col: str, cat_cols: Sequence[str] = (), link: bool = False) -> DataFrame:
+    """Node table of a map: label, the six properties, a code for each category."""
     nodes = property_columns(node_labels(df, col, cat_cols, link), col)
     for c in cat_cols:
         nodes = category_codes(nodes, c)
-    return nodes, edges
+    return nodes
+
+
+def map_edges(
+    df: DataFrame,
+    id_col: str,
+    col: str,
+    coords: Sequence[str] | None = None,
+    k: int = 20,
+    permutations: int = 512,
+    trees: int = 8,
+    kind: str = "mhfp",
+    **options,
+) -> DataFrame:
+    """Edge table of a map.
+
+    ``kind`` names the feature whose equal positions measure closeness: ``mhfp`` (default), ``mapc`` or a registered one that
+    gives ``permutations`` whole numbers. Strings are cut into SMILES units unless ``tokenizer`` says otherwise.
+    """
+    if coords:
+        return spanning_forest(knn_coords(df, id_col, coords, k))
+    slim = df.select(*dict.fromkeys([id_col, col]))
+    if kind.lower() == "mhfp":
+        signed = features.featurize(slim, col, kind, "_sig", permutations=permutations, **options)
+    elif kind.lower() == "mapc":
+        signed = features.featurize(slim, col, kind, "_sig", fp_size=permutations, **options)
+    else:
+        signed = features.featurize(slim, col, kind, "_sig", **options)
+    return spanning_forest(knn_minhash(signed, id_col, "_sig", permutations, k, trees))

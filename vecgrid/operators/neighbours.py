@@ -50,31 +50,42 @@ def knn_minhash(
 ) -> DataFrame:
     """LSH forest neighbours: (src, dst, matches, weight, rank), at most k per src.
 
-    As in an LSH forest, a tree is the rows sorted by one slice of the signature, and
-    a query reads the rows closest in that order, those sharing the longest
-    prefix; ``kc`` says how many per wanted neighbour. All candidates of all
-    trees are scored by equal positions, and the k best with at least one are
-    kept (ties: smaller id). ``weight`` is 1 - estimated Jaccard similarity.
-
-    ``id_col`` must be unique. Rows without signature have no neighbours. Work is
-    rows x trees x window whatever the distribution of signatures.
+    Rows with equal signatures are one node with its k + 1 smallest ids, so copies, however many, take one place. As in an LSH
+    forest, a tree is the nodes sorted by the signature from one of its slices on, and a query reads the nodes closest
+    in that order, those sharing the longest prefix. ``kc`` is the recall parameter: candidates per wanted neighbour,
+    over all trees. All candidates are scored by equal positions; the k best ids with at least one match are kept (ties:
+    smaller id). ``weight`` is 1 - estimated Jaccard similarity.
+
+    Rows that repeat an id and signature count once, and an id is never its own neighbour. Rows without signature have no neighbours.
+    Work is nodes x trees x window whatever the distribution of signatures.
     """
     depth = permutations // trees
     if depth < 1:
         raise ValueError("more trees than permutations")
     window = forest_window(k, kc, trees)
     block_rows = max(block_rows, window)
-    rows = stable(df.filter(F.col(sig).isNotNull()).select(F.col(id_col).alias("id"), F.col(sig).alias("sig")))
-    bad = rows.filter(F.size("sig") != permutations)
+    every = stable(df.filter(F.col(sig).isNotNull()).select(F.col(id_col).alias("id"), F.col(sig).alias("sig")).distinct())
+    bad = every.filter(F.size("sig") != permutations)
     if not bad.isEmpty():
         raise ValueError(f"signatures must have {permutations} positions")
-
-    keys = [F.struct(F.lit(t).alias("tree"), F.slice("sig", t * depth + 1, depth).alias("key")) for t in range(trees)]
+    first = Window.partitionBy("sig").orderBy("id")
+    nodes = stable(
+        every.withColumn("_n", F.row_number().over(first))
+        .filter(F.col("_n") <= k + 1)
+        .groupBy("sig")
+        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        .withColumn("id", F.get("ids", F.lit(0)))
+    )
+    rows = nodes.select("id", "sig")
+
+    # The rest of the signature, taken round, breaks ties of a slice: an order of the nodes in each tree, with no id in it.
+    turned = [
+        F.concat(F.slice("sig", t * depth + 1, permutations - t * depth), F.slice("sig", 1, t * depth)) if t else F.col("sig")
+        for t in range(trees)
+    ]
+    keys = [F.struct(F.lit(t).alias("tree"), key.alias("key")) for t, key in enumerate(turned)]
     placed = ranked(
-        rows.select("id", F.explode(F.array(*keys)).alias("k")).select("id", "k.tree", "k.key"),
-        ["key", "id"],
-        ["tree"],
-        "rank",
+        rows.select("id", F.explode(F.array(*keys)).alias("k")).select("id", "k.tree", "k.key"), ["key"], ["tree"], "rank"
     ).select("id", "tree", "rank")
 
     # Each row goes to its own block and, near an end, also to the next one over.
@@ -99,9 +110,27 @@ def knn_minhash(
     )
     unique = scored.repartition("src").dropDuplicates(["src", "dst"])  # one shuffle serves both steps
     best = Window.partitionBy("src").orderBy(F.desc("matches"), "dst")
+    near = unique.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k)
+
+    # Nodes back to ids: its own copies, then those of its neighbours.
+    candidates = near.join(nodes.select(F.col("id").alias("dst"), "ids"), "dst").select(
+        F.col("src").alias("node"), "matches", F.explode("ids").alias("dst")
+    )
+    own = nodes.select(F.col("id").alias("node"), F.lit(permutations).alias("matches"), F.explode("ids").alias("dst"))
+    closest = Window.partitionBy("node").orderBy(F.desc("matches"), "dst")
+    lists = (
+        candidates.unionByName(own)
+        .withColumn("_n", F.row_number().over(closest))
+        .filter(F.col("_n") <= k + 1)
+        .groupBy("node")
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("matches")).alias("m"), "dst"))).alias("near"))
+    )
+    per_node = stable(nodes.select("sig", F.col("id").alias("node")).join(lists, "node").select("sig", "near"))
+    others = F.slice(F.filter("near", lambda s: s["dst"] != F.col("id")), 1, k)
     return (
-        unique.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
+        lookup_join(every, per_node, ["sig"])
+        .select(F.col("id").alias("src"), F.posexplode(others).alias("_i", "_s"))
+        .select("src", F.col("_s.dst").alias("dst"), (-F.col("_s.m")).alias("matches"), (F.col("_i") + 1).alias("rank"))
         .withColumn("weight", 1 - F.col("matches") / F.lit(permutations))
         .select("src", "dst", "matches", "weight", "rank")
     )
@@ -164,7 +193,7 @@ def knn_coords(
         .withColumn("pid", F.get("ids", F.lit(0)))
     )
     total = points.count()
-    block_rows = max(block_rows, ceil(total / MAX_BLOCKS))
+    block_rows = max(block_rows, ceil(total / MAX_BLOCKS), 4 * (k + 1))
     blocks = _equal_blocks(points.select("pid", *x), x, total, block_rows)
 
     radius_schema = T.StructType(
@@ -213,7 +242,7 @@ def knn_coords(
         .agg(F.array_sort(F.collect_list(F.struct("d2", "id"))).alias("near"))
     )
     per_point = stable(points.select("pid", *x).join(lists, "pid").select(*x, "near"))
-    joined = lookup_join(rows, per_point, x, row_bytes=48 * (k + 1) + 64)
+    joined = lookup_join(rows, per_point, x)
     others = F.slice(F.filter("near", lambda s: s["id"] != F.col("id")), 1, k)
     return joined.select(F.col("id").alias("src"), F.posexplode(others).alias("_i", "_s")).select(
         "src", F.col("_s.id").alias("dst"), F.sqrt("_s.d2").alias("weight"), (F.col("_i") + 1).alias("rank")
@@ -221,18 +250,19 @@ def knn_coords(
 
 
 def _equal_blocks(points: DataFrame, x: list[str], total: int, block_rows: int) -> DataFrame:
-    """Number the points by blocks of at most ``block_rows``: equal slabs of the first
-    coordinate, each cut into equal slabs of the second, and so on."""
-    cuts = ceil((total / block_rows) ** (1 / len(x))) if total > block_rows else 1
+    """Number the points by blocks of about ``block_rows``: equal slabs of the first
+    coordinate, each cut into equal slabs of the second, and so on until they are small enough."""
+    cuts = ceil((total / block_rows) ** (1 / len(x)))
     out = points.withColumn("block", F.lit(0).cast("bigint"))
-    if cuts == 1:
-        return out
     size = total
     for name in x:
-        pieces = ceil(size / ceil(size / cuts))
-        size = ceil(size / cuts)
+        pieces = min(cuts, ceil(size / block_rows))
+        if pieces <= 1:
+            break
+        size //= pieces  # the last slab of each also takes what is left over, so none is short
         out = ranked(out, [name, "pid"], ["block"], "_r")
-        out = out.withColumn("block", F.col("block") * pieces + F.floor((F.col("_r") - 1) / size)).drop("_r")
+        slab = F.least(F.floor((F.col("_r") - 1) / size), F.lit(pieces - 1))
+        out = out.withColumn("block", F.col("block") * pieces + slab).drop("_r")
     return out
 
 

@@ -1,8 +1,8 @@
 """Quantiles of columns, overall or per group, by four interchangeable methods.
 
-``exact``   linear interpolation, same numbers as numpy. Up to a million rows a
-            group's values are sorted in place; larger inputs are sorted across
-            the cluster, so no group has to fit a task.
+``exact``   linear interpolation, same numbers as numpy. Values are sorted across the
+            cluster, so no group has to fit a task. ``exact_gather`` sorts each group
+            in one task instead: an explicit choice for groups known to be small.
 ``sketch``  KLL sketches: one pass, tiny shuffle, rank error about 1.3/k.
 ``approx``  ``percentile_approx``.
 
@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 from vecgrid.operators.ranking import running_total
 from vecgrid.operators.skew import null_safe_join
 
-EXACT_GATHER_ROWS = 1_000_000  # 8 MB if all of them are one group
 KLL_K = 4000
 APPROX_ACCURACY = 100_000
 
-METHODS = ("exact", "exact_gather", "exact_sort", "sketch", "approx")
+METHODS = ("exact", "exact_gather", "sketch", "approx")
 
 
 def valid_number(col: str | Column) -> Column:
@@ -47,20 +46,14 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     method: str = "sketch",
-    rows: int | None = None,
 ) -> DataFrame:
     """One row per group (one row in all without ``by``): the group columns and,
     for every column, an array with one value per probability.
-
-    ``rows`` spares the count that picks the exact method's strategy.
     """
     if method not in METHODS:
         raise ValueError(f"unknown quantile method {method!r}, use one of {METHODS}")
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     if method == "exact":
-        rows = df.count() if rows is None else rows
-        method = "exact_gather" if rows <= EXACT_GATHER_ROWS else "exact_sort"
-    if method == "exact_sort":
         per_col = [_sorted_quantiles(df, c, probs, by) for c in cols]
         return reduce(lambda a, b: _join_groups(a, b, by), per_col)
 

@@ -1,4 +1,4 @@
-"""Joins against one-row-per-key tables that hold up under hot keys."""
+"""Joins against one-row-per-key tables."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecgrid.session import stable
-
-BROADCAST_BYTES = 64 << 20  # largest table shipped to every executor
-HOT_ROWS = 1_000_000  # a key below this never needs special care
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi join in which a NULL key matches a NULL key; columns as in ``left`` plus the rest of ``right``."""
@@ -23,35 +18,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, cond, how).drop(*[f"_rhs_{c}" for c in on])
 
 
-def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    row_bytes: int,
-    hot_rows: int = HOT_ROWS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join ``rows`` with ``table`` (at most one row per ``on`` key).
 
-    The table is counted first (pass a checkpointed or otherwise cheap one).
-    It is broadcast only if ``count * row_bytes`` fits the limit. Beyond that, keys
-    holding very many rows are joined by broadcasting just their table rows
-    (their number is bounded by total rows / threshold) and all other keys by
-    an ordinary shuffle join. The result is the same either way.
+    An ordinary join: adaptive execution broadcasts the table if its measured size allows that and splits hot
+    keys otherwise. Works on streams against a fixed table, too.
     """
     on = list(on)
     columns = [*rows.columns, *(c for c in table.columns if c not in on)]
-    if table.count() * row_bytes <= broadcast_bytes:
-        return rows.join(F.broadcast(table), on, "left").select(*columns)
-
-    frequency = stable(rows.groupBy(*on).count())
-    total = frequency.agg(F.sum("count")).first()[0] or 0
-    most_hot = max(1, broadcast_bytes // (row_bytes + 64))
-    hot = frequency.filter(F.col("count") > max(hot_rows, total // most_hot)).select(*on)
-    hot = hot.dropna()
-    if hot.isEmpty():
-        return rows.join(table, on, "left").select(*columns)
-    hot_table = table.join(F.broadcast(hot), on, "left_semi")
-    hot_rows_df = rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_table), on, "left")
-    cold_rows_df = rows.join(F.broadcast(hot), on, "left_anti").join(table, on, "left")
-    return hot_rows_df.select(*columns).unionByName(cold_rows_df.select(*columns))
+    return rows.join(table, on, "left").select(*columns)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecgrid.operators.quantiles import quantiles
+from vecgrid.operators.quantiles import quantiles, valid_number
 from vecgrid.operators.skew import lookup_join
 from vecgrid.session import stable
 
@@ -23,24 +23,21 @@ def iqr_upper_fence(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
 def _with_fences(df: DataFrame, cols: Sequence[str], by: Sequence[str], method: str) -> DataFrame:
     fences = iqr_upper_fence(df, cols, by, method)
     if by:
-        return lookup_join(df, stable(fences), list(by), row_bytes=8 * len(cols) + 64)
+        return lookup_join(df, stable(fences), list(by))
     row = fences.first()  # one number per column
     return df.withColumns({f"{c}_fence": F.lit(row[f"{c}_fence"]).cast("double") for c in cols})
 
 
 def iqr_filter(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "exact") -> DataFrame:
-    """Rows at or below the fence in every column; a missing value is no outlier."""
-    cond = reduce(
-        lambda a, b: a & b,
-        [F.coalesce(F.col(c) <= F.col(f"{c}_fence"), F.col(c).isNull() | F.col(f"{c}_fence").isNull()) for c in cols],
-    )
+    """Rows at or below the fence in every column; a missing value (NULL or NaN) is no outlier."""
+    cond = reduce(lambda a, b: a & b, [F.coalesce(valid_number(c) <= F.col(f"{c}_fence"), F.lit(True)) for c in cols])
     return _with_fences(df, cols, by, method).filter(cond).select(*df.columns)
 
 
 def iqr_clip(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "exact") -> DataFrame:
-    """Values above the fence become the fence; no row is dropped."""
+    """Values above the fence become the fence; no row is dropped, and missing values (NULL or NaN) stay as they are."""
     fenced = _with_fences(df, cols, by, method)
-    clipped = {c: F.when(F.col(c) > F.col(f"{c}_fence"), F.col(f"{c}_fence")).otherwise(F.col(c).cast("double")) for c in cols}
+    clipped = {c: F.when(valid_number(c) > F.col(f"{c}_fence"), F.col(f"{c}_fence")).otherwise(F.col(c).cast("double")) for c in cols}
     return fenced.withColumns(clipped).select(*df.columns)
 
 

@@ -101,11 +101,21 @@ def map_job(
     id_col: str = "smiles",
     col: str = "smiles",
     coords: Sequence[str] = ("PCA_1", "PCA_2", "PCA_3"),
+    by_coords: bool = False,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges: of one cell (``label``) or of all cell representatives."""
+    """Nodes and edges: of one cell (``label``) or of all cell representatives.
+
+    Neighbours are found by the strings (``kind`` and other options as in ``build_map``), or ``by_coords``. The map of
+    representatives links each node to its cell's ``c1_c2_c3`` label, which ``label`` takes in turn.
+    """
     if label is not None:
         rows = grid.select_cell(clusters, label, sizes)
     else:
         rows = grid.representatives(clusters, coords, "cluster_id", id_col, [col] if col != id_col else [])
-    return build_map(rows, id_col, col, **options)
+        cell = F.col("cluster_id")
+        if dict(rows.dtypes)["cluster_id"] != "string":
+            cell = grid.cell_label(grid.decode_cell("cluster_id", sizes))
+        rows = rows.withColumn("cluster_id", cell)
+        options = {"cat_cols": ["cluster_id"], "link": True} | options
+    return build_map(rows, id_col, col, coords=coords if by_coords else None, **options)

@@ -53,6 +53,7 @@ d AS (SELECT {keep}, smiles, t, labels,
 
 
 PARTS = f"SELECT p_partkey, {smiles_sql('p_partkey')} AS smiles FROM part"
+PART_UNITS = f"WITH {described(PARTS, 'p_partkey')} SELECT p_partkey AS doc_id, t FROM d WHERE ok"
 FRACTION = "round(CASE WHEN ok THEN CASE WHEN n_heavy > 0 THEN n_aromatic / n_heavy ELSE 0.0 END END, 4)"
 
 
@@ -69,27 +70,34 @@ def runs(n: int) -> str:
     return f"list_transform(list_zip({shifted}), lambda z: {joined})"
 
 
-def words(n: int) -> str:
+DOC_WORDS = f"SELECT doc_id, regexp_extract_all(text, {quoted(WORD)}) AS t FROM documents"
+
+
+def words(n: int, source: str = DOC_WORDS) -> str:
     """CTEs: ``w`` words per document, ``g`` its word runs of length n (or the whole, if shorter)."""
     return f"""
-w AS (SELECT doc_id, regexp_extract_all(text, {quoted(WORD)}) AS t FROM documents),
+w AS ({source}),
 g AS (SELECT doc_id, unnest(CASE WHEN len(t) >= {n} THEN {runs(n)} ELSE [array_to_string(t, ' ')] END) AS s FROM w WHERE len(t) > 0),
 h AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT % {PRIME} AS h FROM g)"""
 
 
-def signatures(permutations: int, shingle: int) -> str:
-    return f"""{words(shingle)},
+def signatures(permutations: int, shingle: int, source: str = DOC_WORDS) -> str:
+    return f"""{words(shingle, source)},
 p AS (SELECT i, 1 + ('0x' || substr(md5('a:42:' || i), 1, 8))::BIGINT % {PRIME - 1} AS a,
       ('0x' || substr(md5('b:42:' || i), 1, 8))::BIGINT % {PRIME} AS b FROM range({permutations}) r(i)),
 m AS (SELECT doc_id, i, min((a * h + b) % {PRIME}) AS v FROM h, p GROUP BY doc_id, i),
 sig AS (SELECT doc_id, list(v ORDER BY i) AS s FROM m GROUP BY doc_id)"""
 
 
-BITS = f"""
-w AS (SELECT doc_id, regexp_extract_all(text, {quoted(WORD)}) AS t FROM documents),
+def bits_of(source: str) -> str:
+    return f"""
+w AS ({source}),
 g AS ({' UNION ALL '.join(f"SELECT doc_id, unnest({runs(n)}) AS s FROM w WHERE len(t) >= {n}" for n in (1, 2, 3))}),
 bits AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT % 1024 AS bit FROM g)"""
 
+
+BITS = bits_of(DOC_WORDS)
+
 CELLS = f"""
 e1 AS (SELECT quantile_cont(l_extendedprice, {probs(5)}) AS e FROM lineitem),
 b1 AS (SELECT lineitem.*, {binned('l_extendedprice', 'e', 5)} AS c1 FROM lineitem, e1),
@@ -114,8 +122,22 @@ SQUARE = "o_totalprice * o_totalprice"
 WINDOW = forest_window(NEIGHBOURS, KC, TREES)
 DEPTH = PERMUTATIONS // TREES
 
+KNN_DOCS = f"""WITH {signatures(PERMUTATIONS, 3)},
+        nodes AS (SELECT s, min(doc_id) AS node FROM sig GROUP BY s),
+        o AS (SELECT t, node, s, row_number() OVER (PARTITION BY t ORDER BY list_concat(s[t * {DEPTH} + 1:{PERMUTATIONS}], s[1:t * {DEPTH}])) AS rk
+              FROM nodes, range({TREES}) r(t)),
+        near AS (SELECT DISTINCT a.s AS x, b.s AS y
+              FROM (SELECT *, unnest(range(-{WINDOW}, {WINDOW + 1})) AS step FROM o) a JOIN o b ON a.t = b.t AND b.rk = a.rk + a.step),
+        scored AS (SELECT a.doc_id AS src, b.doc_id AS dst,
+              len(list_filter(list_zip(x, y), lambda z: z[1] = z[2]))::BIGINT AS matches
+              FROM near JOIN sig a ON a.s = x JOIN sig b ON b.s = y WHERE a.doc_id <> b.doc_id)
+        SELECT src, dst, matches, round(1 - matches / {PERMUTATIONS}, 6) AS weight,
+        row_number() OVER (PARTITION BY src ORDER BY matches DESC, dst) AS rank FROM scored WHERE matches > 0
+        QUALIFY rank <= {NEIGHBOURS}"""
+
 ORACLES: dict[str, str] = {
     "scan_csv": "SELECT p_name AS smiles FROM part",
+    "scan_csv_mixed_headers": "SELECT p_name AS smiles FROM part",
     "scan_tsv_bz2": "SELECT p_type FROM part",
     "scan_columns": """SELECT count(*) AS n_rows, round(sum(l_extendedprice), 2) AS sum_l_extendedprice,
         round(sum(l_quantity), 2) AS sum_l_quantity, round(sum(l_discount), 2) AS sum_l_discount FROM lineitem""",
@@ -151,6 +173,10 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, 1024::BIGINT AS width, n AS n_set FROM documents LEFT JOIN j USING (doc_id)""",
     "minhash_docs": f"""WITH {signatures(PERMUTATIONS, 3)}
         SELECT doc_id, array_to_string(s, ',') AS sig FROM documents LEFT JOIN sig USING (doc_id)""",
+    "hashed_bits_smiles": f"""WITH {bits_of(PART_UNITS)}, j AS (SELECT doc_id, string_agg(bit::VARCHAR, ',' ORDER BY bit) AS bits FROM bits GROUP BY doc_id)
+        SELECT p_partkey, bits FROM part LEFT JOIN j ON doc_id = p_partkey""",
+    "minhash_smiles": f"""WITH {signatures(PERMUTATIONS, 3, PART_UNITS)}
+        SELECT p_partkey, array_to_string(s, ',') AS sig FROM part LEFT JOIN sig ON doc_id = p_partkey""",
     "mapc_docs": f"""WITH {signatures(16, 2)}
         SELECT doc_id, array_to_string(s, ',') AS sig FROM documents LEFT JOIN sig USING (doc_id)""",
     "count_profile_docs": f"SELECT doc_id, {counts_sql('text', X.TEXT_PATTERNS)} AS counts FROM documents",
@@ -160,6 +186,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN ok THEN len(labels) // 2 END AS number_of_rings, {FRACTION} AS fraction_aromatic_atoms FROM d""",
     "moments_embeddings": COVARIANCES,
     "moments_update": COVARIANCES,
+    "moments_bad_rows": COVARIANCES.replace("FROM embeddings,", "FROM (SELECT * FROM embeddings WHERE vec_id % 10 > 2),"),
     "stream_moments": COVARIANCES,
     "pca_all_components": NORMS,
     "pca_saved_model": NORMS,
@@ -188,6 +215,10 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey FROM orders JOIN q USING (o_orderstatus) WHERE {SQUARE} <= b[2] + 1.5 * (b[2] - b[1])""",
     "iqr_clip": f"""WITH q AS (SELECT quantile_cont({SQUARE}, [0.25, 0.75]) AS b FROM orders)
         SELECT o_orderkey, round(least({SQUARE}, b[2] + 1.5 * (b[2] - b[1])), 2) AS square FROM orders, q""",
+    "iqr_missing": f"""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 THEN {SQUARE} END AS square FROM orders),
+        q AS (SELECT quantile_cont(square, [0.25, 0.75]) AS b FROM s), f AS (SELECT *, b[2] + 1.5 * (b[2] - b[1]) AS fence FROM s, q)
+        SELECT o_orderkey, 'kept' AS how, NULL::DOUBLE AS square FROM f WHERE square IS NULL OR square <= fence UNION ALL
+        SELECT o_orderkey, 'clipped', CASE WHEN square IS NOT NULL THEN round(least(square, fence), 2) END FROM f""",
     "bins_price": f"""WITH q AS (SELECT quantile_cont(l_extendedprice, {probs(50)}) AS e FROM lineitem)
         SELECT l_orderkey, l_linenumber, {binned("l_extendedprice", "e", 50)} AS bin FROM lineitem, q""",
     "bins_with_gaps": f"""WITH x AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE
@@ -199,6 +230,7 @@ ORACLES: dict[str, str] = {
         e2 AS (SELECT c1, quantile_cont(c_nationkey, {probs(3)}) AS e FROM b1 GROUP BY c1)
         SELECT c_custkey, c1 AS cluster_id_1, {binned("c_nationkey", "e", 3)} AS cluster_id_2 FROM b1 JOIN e2 USING (c1)""",
     "create_clusters": f"WITH {CELLS} SELECT l_orderkey, l_linenumber, c1 * 25 + c2 * 5 + c3 AS cluster_id FROM b3",
+    "grid_saved_model": f"WITH {CELLS} SELECT l_orderkey, l_linenumber, c1 * 25 + c2 * 5 + c3 AS cluster_id FROM b3",
     "cell_labels": f"WITH {CELLS} SELECT l_orderkey, l_linenumber, concat_ws('_', c1, c2, c3) AS label FROM b3",
     "cell_decode": """SELECT o_orderkey, o_orderkey // 420 AS cluster_id_1, (o_orderkey // 7) % 60 AS cluster_id_2,
         o_orderkey % 7 AS cluster_id_3, o_orderkey AS again FROM orders""",
@@ -211,16 +243,8 @@ ORACLES: dict[str, str] = {
         d AS (SELECT c_nationkey, c_custkey, c_name, abs(c_acctbal - m) AS d FROM customer JOIN c USING (c_nationkey))
         SELECT c_nationkey, c_custkey, c_name, round(d, 4) AS distance FROM d
         QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY d, c_custkey) = 1""",
-    "knn_docs": f"""WITH {signatures(PERMUTATIONS, 3)},
-        o AS (SELECT t, doc_id, s, row_number() OVER (PARTITION BY t ORDER BY s[t * {DEPTH} + 1:(t + 1) * {DEPTH}], doc_id) AS rk
-              FROM sig, range({TREES}) r(t)),
-        near AS (SELECT DISTINCT a.doc_id AS src, b.doc_id AS dst, a.s AS x, b.s AS y
-              FROM (SELECT *, unnest(range(-{WINDOW}, {WINDOW + 1})) AS step FROM o) a JOIN o b ON a.t = b.t AND b.rk = a.rk + a.step
-              WHERE a.step <> 0),
-        scored AS (SELECT src, dst, len(list_filter(list_zip(x, y), lambda z: z[1] = z[2]))::BIGINT AS matches FROM near)
-        SELECT src, dst, matches, round(1 - matches / {PERMUTATIONS}, 6) AS weight,
-        row_number() OVER (PARTITION BY src ORDER BY matches DESC, dst) AS rank FROM scored WHERE matches > 0
-        QUALIFY rank <= {NEIGHBOURS}""",
+    "knn_docs": KNN_DOCS,
+    "knn_duplicates": KNN_DOCS,
     "knn_coords": """WITH d AS (SELECT a.c_custkey AS src, b.c_custkey AS dst,
           (a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal)
           + (a.c_nationkey - b.c_nationkey) * (a.c_nationkey - b.c_nationkey) AS d2

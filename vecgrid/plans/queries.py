@@ -32,6 +32,7 @@ GRID_IDS = ["cluster_id_1", "cluster_id_2", "cluster_id_3"]
 GRID_KEYS = ["l_orderkey", "l_linenumber"]
 WIDTH = 64  # of the embeddings
 PERMUTATIONS, TREES, NEIGHBOURS, KC = 32, 4, 5, 4
+TASKS = 16  # for tables of one small file
 
 
 def query(fn: Query) -> Query:
@@ -66,7 +67,7 @@ def parts_smiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with enough partitions for work that is heavy per row."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), TASKS)
 
 
 def binned_lineitem(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,6 +86,17 @@ def scan_csv(spark, sf):
     return S.read_strings(spark, files).select("smiles")
 
 
+@query
+def scan_csv_mixed_headers(spark, sf):
+    """Files that name the same columns in another order."""
+    path = scratch_path(spark, "csv-mixed")
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("smiles"))
+    odd = F.coalesce(F.col("p_partkey") % 2 == 1, F.lit(False))
+    W.write_csv(part.filter(odd), f"{path}/a")
+    W.write_csv(part.filter(~odd).select("smiles", "p_partkey"), f"{path}/b")
+    return S.read_strings(spark, [*S.expand_inputs(spark, f"{path}/a"), *S.expand_inputs(spark, f"{path}/b")]).select("smiles")
+
+
 @query
 def scan_tsv_bz2(spark, sf):
     path = scratch_path(spark, "tsv")
@@ -207,12 +219,12 @@ def encode_docs(spark, sf):
 
 @query
 def hashed_bits_docs(spark, sf):
-    return docs(spark, sf).select("doc_id", F.array_join(X.hashed_bits("text", 1024, 2), ",").alias("bits"))
+    return docs(spark, sf).select("doc_id", F.array_join(X.hashed_bits("text", 1024, 2, "words"), ",").alias("bits"))
 
 
 @query
 def dense_bits_docs(spark, sf):
-    out = X.featurize(docs(spark, sf), "text", "morgan", fp_size=1024)
+    out = X.featurize(docs(spark, sf), "text", "morgan", fp_size=1024, tokenizer="words")
     return out.select(
         "doc_id", F.size("fp").cast("bigint").alias("width"),
         F.aggregate("fp", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n_set"),
@@ -221,13 +233,24 @@ def dense_bits_docs(spark, sf):
 
 @query
 def minhash_docs(spark, sf):
-    out = X.minhash(docs(spark, sf), "text", "sig", PERMUTATIONS).drop("text")
+    out = X.minhash(docs(spark, sf), "text", "sig", PERMUTATIONS, tokenizer="words").drop("text")
     return out.select("doc_id", F.array_join("sig", ",").alias("sig"))
 
 
+@query
+def hashed_bits_smiles(spark, sf):
+    return parts_smiles(spark, sf).select("p_partkey", F.array_join(X.hashed_bits("smiles", 1024, 2), ",").alias("bits"))
+
+
+@query
+def minhash_smiles(spark, sf):
+    out = X.featurize(parts_smiles(spark, sf), "smiles", "mhfp", permutations=PERMUTATIONS)
+    return out.select("p_partkey", F.array_join("fp", ",").alias("sig"))
+
+
 @query
 def mapc_docs(spark, sf):
-    out = X.featurize(docs(spark, sf), "text", "mapc", fp_size=16, radius=1).drop("text")
+    out = X.featurize(docs(spark, sf), "text", "mapc", fp_size=16, radius=1, tokenizer="words").drop("text")
     return out.select("doc_id", F.array_join("fp", ",").alias("sig"))
 
 
@@ -239,7 +262,7 @@ def count_profile_docs(spark, sf):
 
 @query
 def count_profile_pages(spark, sf):
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"), TASKS)
     out = X.count_profile(pages, "html", "fp", "text")
     return out.select("page_id", F.array_join("fp", ",").alias("counts"))
 
@@ -272,7 +295,16 @@ def moments_embeddings(spark, sf):
 def moments_update(spark, sf):
     emb = table(spark, sf, "embeddings")
     old = R.moments(emb.filter("label < 5"), "embedding", WIDTH)
-    return _covariances(R.update(old, emb.filter("label >= 5"), "embedding", WIDTH))
+    return _covariances(R.update(old, emb.filter("label IS NULL OR label >= 5"), "embedding", WIDTH))
+
+
+@query
+def moments_bad_rows(spark, sf):
+    """Vectors that are short, infinite or NULL are counted, not used."""
+    emb, key = table(spark, sf, "embeddings"), F.col("vec_id") % 10
+    endless = F.transform("embedding", lambda x: F.lit(float("inf")).cast("float"))
+    bad = F.when(key == 0, F.slice("embedding", 1, WIDTH - 1)).when(key == 1, endless).when(key > 2, F.col("embedding"))
+    return _covariances(R.moments(emb.withColumn("embedding", bad), "embedding", WIDTH))
 
 
 def _norms(coords: DataFrame) -> DataFrame:
@@ -359,7 +391,7 @@ def edges_by_flag(spark, sf):
 def edges_sorted(spark, sf):
     """The exact method as it runs on large inputs."""
     li = table(spark, sf, "lineitem")
-    return _edge_rows(G.quantile_edges(li, "l_discount", 11, ["l_linestatus"], "exact_sort"), "l_linestatus")
+    return _edge_rows(G.quantile_edges(li, "l_discount", 11, ["l_linestatus"], "exact"), "l_linestatus")
 
 
 @query
@@ -423,6 +455,20 @@ def iqr_clip(spark, sf):
     return out.select("o_orderkey", rounded("square", 2).alias("square"))
 
 
+@query
+def iqr_missing(spark, sf):
+    """NULL and NaN are missing: neither an outlier nor clipped."""
+    key = F.col("o_orderkey")
+    gaps = F.when(key % 11 == 0, F.lit(None)).when(key % 13 == 0, F.lit(float("nan"))).otherwise(F.col("square"))
+    rows = _fence_input(spark, sf).withColumn("square", gaps)
+    kept = stats.iqr_filter(rows, ["square"]).select("o_orderkey", F.lit("kept").alias("how"), F.lit(None).cast("double").alias("square"))
+    known = F.col("square").isNotNull() & ~F.isnan("square")
+    clipped = stats.iqr_clip(rows, ["square"]).select(
+        "o_orderkey", F.lit("clipped").alias("how"), F.when(known, rounded("square", 2)).alias("square")
+    )
+    return kept.unionByName(clipped)
+
+
 # ------------------------------------------------------------------ grid
 
 
@@ -474,6 +520,16 @@ def create_clusters(spark, sf):
     return out.select(*GRID_KEYS, "cluster_id")
 
 
+@query
+def grid_saved_model(spark, sf):
+    """Cells from a grid that was fitted, saved and loaded again."""
+    path = scratch_path(spark, "grid-model")
+    slim = table(spark, sf, "lineitem").select(*GRID_KEYS, *[c for c, _ in GRID])
+    G.save_grid(spark, G.fit_grid(slim, GRID, "exact"), path)
+    model = G.load_grid(spark, path)
+    return G.apply_grid(slim, model).select(*GRID_KEYS, G.encode_cell(model.bin_columns, model.sizes).alias("cluster_id"))
+
+
 @query
 def cell_labels(spark, sf):
     return binned_lineitem(spark, sf).select(*GRID_KEYS, G.cell_label(GRID_IDS).alias("label"))
@@ -512,7 +568,7 @@ def representatives(spark, sf):
 
 
 def _signed_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return X.minhash(docs(spark, sf), "text", "sig", PERMUTATIONS).drop("text")
+    return X.minhash(docs(spark, sf), "text", "sig", PERMUTATIONS, tokenizer="words").drop("text")
 
 
 @query
@@ -524,6 +580,17 @@ def knn_docs(spark, sf):
     )
 
 
+@query
+def knn_duplicates(spark, sf):
+    """Rows that repeat an id change nothing."""
+    signed = _signed_docs(spark, sf)
+    graph = N.knn_minhash(signed.unionByName(signed), "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, TREES, KC)
+    return graph.select(
+        "src", "dst", F.col("matches").cast("bigint").alias("matches"), rounded("weight", 6).alias("weight"),
+        F.col("rank").cast("bigint").alias("rank"),
+    )
+
+
 @query
 def knn_coords(spark, sf):
     graph = N.knn_coords(table(spark, sf, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"], 5)
@@ -552,7 +619,7 @@ def category_codes(spark, sf):
 def map_nodes(spark, sf):
     """Node table of a neighbour map (its edges: see map_edges)."""
     rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", smiles_of("c_custkey").alias("smiles"))
-    nodes, _ = M.build_map(rows, "c_custkey", "smiles", ["c_acctbal"], 2, cat_cols=["c_mktsegment"])
+    nodes = M.map_nodes(rows, "smiles", ["c_mktsegment"])
     return nodes.select(
         "c_custkey", "label", F.col("hac").cast("bigint").alias("hac"), F.col("num_rings").cast("bigint").alias("num_rings"), "c_mktsegment_code"
     )
@@ -561,7 +628,7 @@ def map_nodes(spark, sf):
 @query
 def map_edges(spark, sf):
     rows = docs(spark, sf)
-    return M.build_map(rows, "doc_id", "text", k=NEIGHBOURS, permutations=PERMUTATIONS, trees=TREES)[1]
+    return M.map_edges(rows, "doc_id", "text", k=NEIGHBOURS, permutations=PERMUTATIONS, trees=TREES, tokenizer="words")
 
 
 # ------------------------------------------------------------------ sinks
@@ -605,7 +672,7 @@ def sink_append(spark, sf):
     path = scratch_path(spark, "grow")
     customer = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     W.append_parquet(customer.filter("c_acctbal < 0"), path)
-    W.append_parquet(customer.filter("c_acctbal >= 0"), path)
+    W.append_parquet(customer.filter("c_acctbal IS NULL OR c_acctbal >= 0"), path)
     return spark.read.parquet(path)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,11 +45,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Give expensive per-row work at least ``partitions`` tasks.
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Deal the rows of a small table that is read as a few splits to ``partitions`` tasks."""
+    return df.repartition(partitions)
 
-    A scan of a large table already has far more splits than cores and is left
-    as it is; only a table read as a few splits is redistributed.
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, for sessions whose cluster has not got it installed.
+
+    Does nothing if this session has it already.
     """
-    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    sc = spark.sparkContext
+    if getattr(sc, "_vecgrid_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(sc._temp_dir) / f"vecgrid-{uuid.uuid4().hex[:8]}.zip"  # the session's own folder on the driver
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._vecgrid_shipped = True

@@ -89,13 +89,31 @@ def read_strings(
     files = expand_inputs(spark, paths)
     if not files:
         raise ValueError(f"no input files in {paths}")
-    groups: dict[str, list[str]] = {}
+    groups: dict[tuple[str, str | None], list[str]] = {}
     for f in files:
-        groups.setdefault(fmt or detect_format(f), []).append(f)
-    frames = [_read_one(spark, kind, group, col, header, out, position, quote) for kind, group in groups.items()]
+        kind = fmt or detect_format(f)
+        # a delimited file is read by its own header: files with another order of columns are a group of their own
+        first = _first_line(spark, f) if header and kind != "parquet" and len(files) > 1 else None
+        groups.setdefault((kind, first), []).append(f)
+    frames = [_read_one(spark, kind, group, col, header, out, position, quote) for (kind, _), group in groups.items()]
     return union_tables(frames)
 
 
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """First line of a plain or compressed text file, read on the driver."""
+    fs, hpath = _status(spark, path)
+    if not fs.getFileStatus(hpath).isFile():
+        return None
+    jvm = spark._jvm
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(hpath)
+    raw = fs.open(hpath)
+    try:
+        stream = raw if codec is None else codec.createInputStream(raw)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        raw.close()
+
+
 def _read_one(spark, kind, files, col, header, out, position, quote) -> DataFrame:
     if kind == "parquet":
         raw = spark.read.parquet(*files)
