@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from vecgrid.llm.common import Memo, per_text, ragged_take, slices, text_of, wor
 FEATURES = 1 << 18
 SENTENCE_WORDS = 40  # a longer run without an end of sentence is cut after so many tokens
 START_BIAS = -9.0
-MAX_TRAIN_DOCS = 10_000  # bound of the labelled sample that a model is fitted on
+MAX_TRAIN_DOCS = 5_000  # bound of the labelled sample that a model is fitted on
 MAX_TRAIN_CHARS = 60_000  # longer texts are not drawn into that sample; all are scored
 _WORD = re.compile(r"\w+")
 
@@ -67,9 +68,9 @@ def ends_sentence(token: str) -> bool:
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "_order") -> ToxicityModel:
     """Fit on ``labelled``, a sample that the caller has bounded (see ``training_sample``); rows with a NULL label are left out."""
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(order_col, label_col, text_col).collect()
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1], r[2] or ""))
-    return fit_texts([r[2] or "" for r in rows], [float(r[1]) for r in rows])
+    rows = labelled.filter(F.col(label_col).isNotNull()).select(order_col, label_col, text_col).toArrow().to_pylist()
+    rows = sorted((r[order_col] is None, r[order_col] or 0, float(r[label_col]), r[text_col] or "") for r in rows)
+    return fit_texts([r[3] for r in rows], [r[2] for r in rows])
 
 
 def fit_texts(
@@ -83,37 +84,65 @@ def fit_texts(
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
         return ToxicityModel(np.zeros(FEATURES, np.float32), float(np.log(p / (1 - p))))
+    # Part by part, so that only compact arrays grow with the sample.
     vocabulary: dict[str, int] = {}
-    different, token, at = words(pa.array(texts, pa.string()))
-    inside = [[vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.lower())] for t in different]
-    sentence, doc = sentence_numbers(np.array([ends_sentence(t) for t in different])[token], at)
-    sizes = np.array([len(x) for x in inside], np.int64)
-    flat = np.array([w for x in inside for w in x], np.int32)
-    word = ragged_take(flat, (np.cumsum(sizes) - sizes)[token], sizes[token])
-    sent = np.repeat(sentence, sizes[token]).astype(np.int32)
-    lists = [word_features(w) for w in vocabulary]
-    of_word = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    feature = np.array([f for x in lists for f in x], np.int32)
-    used = np.flatnonzero(_telling(doc[sent], word, feature, of_word, y))
-    place = np.full(FEATURES, -1, np.int64)
+    feature, counts = array("i"), array("i")
+    parts: list[tuple[np.ndarray, ...]] = []
+    n_sentences = n_docs = 0
+    for part in slices(pa.array(texts, pa.string())):
+        different, token, at = words(part)
+        inside, sizes = array("i"), np.zeros(len(different), np.int64)
+        for k, t in enumerate(different):
+            found = _WORD.findall(t.lower())
+            sizes[k] = len(found)
+            for w in found:
+                if w not in vocabulary:
+                    vocabulary[w] = len(vocabulary)
+                    hashed = word_features(w)
+                    feature.extend(hashed)
+                    counts.append(len(hashed))
+                inside.append(vocabulary[w])
+        ends = np.fromiter(map(ends_sentence, different), bool, len(different))
+        sentence, doc = sentence_numbers(ends[token], at)
+        word = ragged_take(np.frombuffer(inside, np.int32), (np.cumsum(sizes) - sizes)[token], sizes[token])
+        sent = np.repeat(sentence, sizes[token])
+        pairs = np.unique(sent << 32 | word)  # a word counts once in a sentence
+        by_doc = np.unique(doc[sent] << 32 | word)
+        parts.append(
+            (
+                (n_sentences + (pairs >> 32)).astype(np.int32),
+                (pairs & 0xFFFFFFFF).astype(np.int32),
+                (n_docs + doc).astype(np.int32),
+                (n_docs + (by_doc >> 32)).astype(np.int32),
+                (by_doc & 0xFFFFFFFF).astype(np.int32),
+            )
+        )
+        n_sentences, n_docs = n_sentences + len(doc), n_docs + len(part)
+    n_words = len(vocabulary)
+    del vocabulary
+    sent, word, doc, doc_of_pair, word_of_pair = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    feature, counts = np.frombuffer(feature, np.int32), np.frombuffer(counts, np.int32)
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), counts)
+    used = np.flatnonzero(_telling(y[doc_of_pair] > 0.5, word_of_pair, feature, of_word, n_words))
+    place = np.full(FEATURES, -1, np.int32)
     place[used] = np.arange(len(used))
     known = place[feature] >= 0
     feature, of_word = place[feature[known]], of_word[known]
-    matters = np.bincount(of_word, minlength=len(lists)) > 0
-    pairs = np.unique(sent[matters[word]].astype(np.int64) << 32 | word[matters[word]])  # a word counts once in a sentence
-    sent, word = pairs >> 32, pairs & 0xFFFFFFFF
+    matters = np.bincount(of_word, minlength=n_words) > 0
+    sent, word = sent[matters[word]], word[matters[word]]
 
     weights, bias = np.zeros(len(used)), START_BIAS
     seen, seen_bias = np.full(len(used), 1e-8), 1e-8
     for _ in range(epochs):
-        by_word = np.bincount(of_word, weights[feature], len(lists))
+        by_word = np.bincount(of_word, weights[feature], n_words)
         z = bias + np.bincount(sent, by_word[word], len(doc))
         q = 1 / (1 + np.exp(-z))
         safe = np.bincount(doc, -np.logaddexp(0, z), len(y))  # log of the chance that no sentence offends
         p = -np.expm1(safe)
         slope = np.where(y > 0.5, -np.exp(safe) / np.maximum(p, 1e-12), 1.0)
         g = q * slope[doc]
-        grad = np.bincount(feature, np.bincount(word, g[sent], len(lists))[of_word], len(used)) / len(y)
+        grad = np.bincount(feature, np.bincount(word, g[sent], n_words)[of_word], len(used)) / len(y)
         grad += decay * weights
         grad_bias = g.sum() / len(y)
         seen += grad * grad
@@ -125,14 +154,15 @@ def fit_texts(
     return ToxicityModel(full, float(bias))
 
 
-def _telling(doc: np.ndarray, word: np.ndarray, feature: np.ndarray, of_word: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _telling(toxic: np.ndarray, word: np.ndarray, feature: np.ndarray, of_word: np.ndarray, n_words: int) -> np.ndarray:
     """Which features are in toxic documents far more often than chance has it: by more standard deviations than the largest
     of so many features would be by chance. Counted are different words of documents; words that are seen once stay out."""
-    pairs = np.unique(doc.astype(np.int64) << 32 | word)
-    toxic, own = y[pairs >> 32] > 0.5, pairs & 0xFFFFFFFF
-    n = int(of_word.max(initial=-1)) + 1
-    good = np.bincount(feature, np.bincount(own[toxic], minlength=n)[of_word], FEATURES)
-    every = np.bincount(feature, np.bincount(own, minlength=n)[of_word], FEATURES)
+    of_toxic, of_all = np.bincount(word[toxic], minlength=n_words), np.bincount(word, minlength=n_words)
+    good, every = np.zeros(FEATURES), np.zeros(FEATURES)
+    for lo in range(0, len(feature), 1 << 20):
+        f, w = feature[lo : lo + (1 << 20)], of_word[lo : lo + (1 << 20)]
+        good += np.bincount(f, of_toxic[w], FEATURES)
+        every += np.bincount(f, of_all[w], FEATURES)
     expected = every * toxic.mean() if len(toxic) else every
     deviations = np.sqrt(2 * np.log(max(2, np.count_nonzero(every))))
     return good - expected > deviations * np.sqrt(np.maximum(expected, 1e-9))
