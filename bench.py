@@ -75,13 +75,13 @@ def main() -> None:
         n = lines.count()
         for name, codec in (("read_plain_text", "none"), ("read_bz2_text", "bzip2")):
             path = scratch_path(spark, name)
-            spread(lines).write.options(sep="\t", compression=codec).csv(path)
+            spread(lines, 16).write.options(sep="\t", compression=codec).csv(path)
             times[name] = timed(lambda path=path: drain(read_strings(spark, path, fmt="tsv", header=False)))
             rates[f"{name}_lines_per_s"] = int(n / times[name])
 
     if not only or "end_to_end" in only:
         # strings -> 27 counts -> PCA fit -> coordinates written, as in the published run
-        strings = spread(table(spark, sf, "lineitem").select(smiles_of("l_orderkey").alias("smiles")))
+        strings = spread(table(spark, sf, "lineitem").select(smiles_of("l_orderkey").alias("smiles")), 16)
 
         def end_to_end() -> None:
             coords, _ = vectors_job(strings, len(SMILES_PATTERNS))

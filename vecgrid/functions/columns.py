@@ -102,7 +102,8 @@ def apply_kernel(
     ``arg`` is evaluated in the JVM; the kernel (made once per task) gets it as an
     Arrow array and returns one array per field. All other columns pass through
     as they are. A map over batches, unlike a Python function inside an
-    expression, takes any built-in expression as argument.
+    expression, takes any built-in expression as argument, those with lambdas included; for other arguments
+    ``apply_to_argument`` is the better choice.
     """
     names = {f.name for f in fields}
     kept = [c for c in df.columns if c not in set(drop) | names]
@@ -117,3 +118,20 @@ def apply_kernel(
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *[f.name for f in fields]])
 
     return staged.mapInArrow(run, schema)
+
+
+def apply_to_argument(
+    df: DataFrame, arg: Column, fields: Sequence[T.StructField], make_kernel: Callable[[], Kernel], drop: Sequence[str] = ()
+) -> DataFrame:
+    """As ``apply_kernel`` for an ``arg`` without lambdas: only the argument goes through Python, other columns stay in the JVM
+    and can be pruned. Marked as not deterministic so that the planner never evaluates it twice."""
+    names = [f.name for f in fields]
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in set(drop) | set(names)]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kernel = make_kernel()
+        for batch in batches:
+            yield pa.StructArray.from_arrays(list(kernel(batch)), names=names)
+
+    added = F.arrow_udf(run, T.StructType(list(fields))).asNondeterministic()(arg)
+    return df.select(*kept, added.alias("_kernel")).select(*kept, *[F.col("_kernel").getField(n).alias(n) for n in names])

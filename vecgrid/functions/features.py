@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecgrid.functions import smiles
-from vecgrid.functions.columns import apply_kernel, let, lists_of
+from vecgrid.functions.columns import apply_kernel, apply_to_argument, let, lists_of
 from vecgrid.functions.smiles import as_column
 
 PRIME = 2**31 - 1
@@ -218,7 +218,7 @@ def count_profile(
         return [lists_of(np.stack(counts, axis=1).astype(np.int32), ok, pa.int32())]
 
     field = T.StructField(out, T.ArrayType(T.IntegerType()))
-    return apply_kernel(df, as_column(col), [field], lambda: kernel)
+    return apply_to_argument(df, as_column(col), [field], lambda: kernel)
 
 
 # ---------------------------------------------------------------- user encoder
@@ -263,7 +263,7 @@ def encode_with(
         return kernel
 
     fields = [T.StructField(out, T.ArrayType(T.DoubleType())), T.StructField(error, T.StringType())]
-    return apply_kernel(df, F.col(col), fields, make_kernel)
+    return apply_to_argument(df, F.col(col), fields, make_kernel)
 
 
 # ---------------------------------------------------------------- dispatch

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecgrid.functions.columns import apply_kernel, matrix_of
+from vecgrid.functions.columns import apply_to_argument, matrix_of
 
 MAX_WIDTH = 4096  # the d x d matrix is solved on the driver: 128 MB at most
 MOMENTS_SCHEMA = "dim int, n bigint, nulls bigint, means array<double>, comoments array<double>"
@@ -170,7 +170,7 @@ def pca_transform(
 
     fields = [T.StructField(f"{prefix}{i + 1}", T.DoubleType()) for i in range(weights.shape[1])]
     arg = F.col(vec).cast("array<double>")
-    return apply_kernel(df, arg, fields, lambda: project, drop=() if keep_vector else (vec,))
+    return apply_to_argument(df, arg, fields, lambda: project, drop=() if keep_vector else (vec,))
 
 
 def pca_summary(spark: SparkSession, model: PCAModel) -> DataFrame:
