@@ -9,7 +9,6 @@ from __future__ import annotations
 from vecgrid.functions import features as X
 from vecgrid.functions import smiles
 from vecgrid.plans.queries import KC, NEIGHBOURS, PERMUTATIONS, TREES, WIDTH
-from vecgrid.operators.neighbours import forest_window
 
 WORD = X.WORD
 PRIME = X.PRIME
@@ -119,15 +118,22 @@ FROM v a JOIN v b USING (vec_id) GROUP BY a.dim, b.dim"""
 CHUNKS = "(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 500"
 SQUARE = "o_totalprice * o_totalprice"
 
-WINDOW = forest_window(NEIGHBOURS, KC, TREES)
 DEPTH = PERMUTATIONS // TREES
 
-KNN_DOCS = f"""WITH {signatures(PERMUTATIONS, 3)},
+
+def window(kc: int) -> int:
+    """Places read on either side in each tree, for k * kc candidates or more in all."""
+    return max(NEIGHBOURS, -(-NEIGHBOURS * kc // (2 * TREES)))
+
+
+def knn_sql(w: int) -> str:
+    """Neighbours of documents by signatures: ``w`` places either way in each tree."""
+    return f"""WITH {signatures(PERMUTATIONS, 3)},
         nodes AS (SELECT s, min(doc_id) AS node FROM sig GROUP BY s),
         o AS (SELECT t, node, s, row_number() OVER (PARTITION BY t ORDER BY list_concat(s[t * {DEPTH} + 1:{PERMUTATIONS}], s[1:t * {DEPTH}])) AS rk
               FROM nodes, range({TREES}) r(t)),
         near AS (SELECT DISTINCT a.s AS x, b.s AS y
-              FROM (SELECT *, unnest(range(-{WINDOW}, {WINDOW + 1})) AS step FROM o) a JOIN o b ON a.t = b.t AND b.rk = a.rk + a.step),
+              FROM (SELECT *, unnest(range(-{w}, {w + 1})) AS step FROM o) a JOIN o b ON a.t = b.t AND b.rk = a.rk + a.step),
         scored AS (SELECT a.doc_id AS src, b.doc_id AS dst,
               len(list_filter(list_zip(x, y), lambda z: z[1] = z[2]))::BIGINT AS matches
               FROM near JOIN sig a ON a.s = x JOIN sig b ON b.s = y WHERE a.doc_id <> b.doc_id)
@@ -135,7 +141,29 @@ KNN_DOCS = f"""WITH {signatures(PERMUTATIONS, 3)},
         row_number() OVER (PARTITION BY src ORDER BY matches DESC, dst) AS rank FROM scored WHERE matches > 0
         QUALIFY rank <= {NEIGHBOURS}"""
 
+
+def forest_sql(w: int) -> str:
+    """Kruskal: edges in order of (weight, src, dst), one step of the recursion each; the state is the list of component labels."""
+    graph = knn_sql(w).replace(f"round(1 - matches / {PERMUTATIONS}, 6)", f"1 - matches / {PERMUTATIONS}")
+    return f"""WITH RECURSIVE knn AS ({graph}),
+        e AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, min(weight) AS w FROM knn GROUP BY 1, 2),
+        n AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM (SELECT u AS x FROM e UNION SELECT v FROM e)),
+        r AS (SELECT row_number() OVER (ORDER BY w, u, v) AS i, u, v, w, a.k AS ku, b.k AS kv FROM e JOIN n a ON a.x = u JOIN n b ON b.x = v),
+        ends AS (SELECT list(ku ORDER BY i) AS us, list(kv ORDER BY i) AS vs, (SELECT count(*) FROM n) AS size FROM r),
+        step AS (SELECT 0::BIGINT AS i, range(1, size + 1) AS labels, false AS taken FROM ends UNION ALL
+              SELECT i + 1, CASE WHEN labels[us[i + 1]] = labels[vs[i + 1]] THEN labels ELSE
+                list_transform(labels, lambda x: CASE WHEN x = labels[vs[i + 1]] THEN labels[us[i + 1]] ELSE x END) END,
+              labels[us[i + 1]] <> labels[vs[i + 1]] FROM step, ends WHERE i < len(us))
+        SELECT u AS src, v AS dst, w AS weight FROM step JOIN r USING (i) WHERE taken"""
+
+
+KNN_DOCS = knn_sql(window(KC))
+
 ORACLES: dict[str, str] = {
+    "spanning_forest_docs": forest_sql(window(KC)),
+    "map_edges": forest_sql(window(10)),
+    "pca_uncorrelated": "SELECT t AS test, true AS ok FROM range(8) r(t)",
+    "kll_profile_bounds": "SELECT p AS percentile, true AS within FROM range(0, 100, 2) r(p)",
     "scan_csv": "SELECT p_name AS smiles FROM part",
     "scan_csv_mixed_headers": "SELECT p_name AS smiles FROM part",
     "scan_tsv_bz2": "SELECT p_type FROM part",

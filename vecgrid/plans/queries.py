@@ -353,6 +353,17 @@ def pca_project(spark, sf):
     return R.pca_transform(emb, "embedding", R.pca_fit(emb, "embedding", WIDTH))
 
 
+@query
+def pca_uncorrelated(spark, sf):
+    """Means and covariances of the projected coordinates: all 0, and variances that fall."""
+    coords, names = pca_project(spark, sf), ["PCA_1", "PCA_2", "PCA_3"]
+    zero = [F.abs(F.avg(n)) < 1e-9 for n in names]
+    zero += [F.abs(F.covar_pop(a, b)) < 1e-9 for a, b in zip(names, [*names[1:], names[0]], strict=True)]
+    falling = [F.var_pop(a) >= F.var_pop(b) for a, b in zip(names, names[1:], strict=False)]
+    tests = F.array(*[F.struct(F.lit(i).cast("bigint").alias("test"), t.alias("ok")) for i, t in enumerate([*zero, *falling])])
+    return coords.agg(tests.alias("t")).select(F.explode("t").alias("x")).select("x.test", "x.ok")
+
+
 @query
 def pca_grid(spark, sf):
     coords = pca_project(spark, sf)
@@ -416,6 +427,24 @@ def kll_profile(spark, sf):
     return sketches.percentile_profile(table(spark, sf, "lineitem"), "l_extendedprice")
 
 
+@query
+def kll_profile_bounds(spark, sf):
+    """Whether the exact share of values up to each estimated percentile is within 1 % of it."""
+    rows = table(spark, sf, "lineitem").select("l_extendedprice")
+    found = sketches.percentile_profile(rows, "l_extendedprice").collect()  # one row per percentile
+    shares = [
+        F.struct(
+            F.lit(int(r["percentile"])).cast("bigint").alias("percentile"),
+            (
+                (F.avg((F.col("l_extendedprice") <= r["value"]).cast("double")) >= r["percentile"] / 100 - 0.01)
+                & (F.avg((F.col("l_extendedprice") < r["value"]).cast("double")) <= r["percentile"] / 100 + 0.01)
+            ).alias("within"),
+        )
+        for r in found
+    ]
+    return rows.agg(F.array(*shares).alias("s")).select(F.explode("s").alias("x")).select("x.percentile", "x.within")
+
+
 @query
 def percentile_profile(spark, sf):
     path = scratch_path(spark, "profile")
