@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,11 +183,13 @@ def top_k(
         "dim", F.col("vecs").alias("q_vecs"), F.transform("ids", lambda x: x.getItem(0)).alias("q_ids")
     )
 
-    drawn = different.orderBy(F.xxhash64("vec", F.lit(5)), "vec").limit(sample).collect()
+    drawn = different.orderBy(F.xxhash64("vec", F.lit(5)), "vec").limit(sample)
+    drawn = drawn.select("dim", "vec", F.size("ids").alias("n")).toArrow().combine_chunks()
     first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dim in {r["dim"] for r in drawn}:
-        own = [r for r in drawn if r["dim"] == dim]
-        first[dim] = (np.array([r["vec"] for r in own], np.int64).reshape(len(own), dim), np.array([len(r["ids"]) for r in own]))
+    for dim in set(drawn["dim"].to_pylist()):
+        own = drawn.filter(pc.equal(drawn["dim"], dim))
+        flat = own["vec"].combine_chunks().flatten().to_numpy()
+        first[dim] = (flat.astype(np.int64).reshape(len(own), dim), own["n"].to_numpy())
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A score that k + 1 ids of the sample reach, for each query."""
