@@ -123,3 +123,19 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/pq").count() == 1200
     W.write_small_json(df.limit(3), f"{tmp_path}/js")
     assert spark.read.json(f"{tmp_path}/js").count() == 3
+
+
+def test_scratch_folders_are_cleared(spark):
+    from vecgrid import session
+
+    path = session.scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    held = dict(session._SCRATCH)
+    try:
+        session._SCRATCH[spark.sparkContext.applicationId] = [path]
+        assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    finally:
+        session._SCRATCH.update(held)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

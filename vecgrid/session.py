@@ -15,6 +15,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: dict[str, list[str]] = {}  # folders by application
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, as the session names it.
 
@@ -41,8 +44,23 @@ def stable(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused folder below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused folder below the shared checkpoint folder; ``clear_scratch`` deletes it."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every scratch folder that this session has named so far; returns how many there were.
+
+    For the end of a job: tables that operators returned read these folders lazily, so write results first. Checkpoints
+    go by themselves under ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    n = 0
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True))
+    return n
 
 
 def spread(df: DataFrame, partitions: int) -> DataFrame:
