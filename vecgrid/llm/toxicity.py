@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vecgrid.llm.common import Memo, per_text, ragged_take, slices, text_of, words
 
-FEATURES = 1 << 18
+FEATURES = 1 << 18  # hash places of features while a model is fitted
 SENTENCE_WORDS = 40  # a longer run without an end of sentence is cut after so many tokens
 START_BIAS = -9.0
 MAX_TRAIN_DOCS = 5_000  # bound of the labelled sample that a model is fitted on
@@ -30,18 +30,26 @@ _WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of hashed word features (float32) and the bias of a sentence."""
+    """Weights of the word features that tell, and the bias of a sentence."""
 
-    weights: np.ndarray
+    weights: dict[str, float]
     bias: float
 
+    def word_score(self, word: str) -> float:
+        get = self.weights.get
+        return sum([get(f, 0.0) for f in word_features(word)])
 
-def word_features(word: str) -> list[int]:
-    """Hashed features: the word, and its character runs of 3 to 6 with its ends marked."""
+
+def word_features(word: str) -> list[str]:
+    """The word itself and its different character runs of 4 to 6 with its ends marked, in a fixed order."""
     marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
-    grams.add(f"={word}")
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % FEATURES for g in sorted(grams)]
+    n = len(marked)
+    runs = [marked[i : i + size] for size in (4, 5, 6) for i in range(n - size + 1)]
+    return list(dict.fromkeys([f"={word}", *runs]))
+
+
+def _hashed(features: list[str]) -> list[int]:
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % FEATURES for f in features]
 
 
 def sentence_numbers(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +91,7 @@ def fit_texts(
     y = np.array(labels, float)
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
-        return ToxicityModel(np.zeros(FEATURES, np.float32), float(np.log(p / (1 - p))))
+        return ToxicityModel({}, float(np.log(p / (1 - p))))
     # Part by part, so that only compact arrays grow with the sample.
     vocabulary: dict[str, int] = {}
     feature, counts = array("i"), array("i")
@@ -98,7 +106,7 @@ def fit_texts(
             for w in found:
                 if w not in vocabulary:
                     vocabulary[w] = len(vocabulary)
-                    hashed = word_features(w)
+                    hashed = _hashed(word_features(w))
                     feature.extend(hashed)
                     counts.append(len(hashed))
                 inside.append(vocabulary[w])
@@ -119,7 +127,6 @@ def fit_texts(
         )
         n_sentences, n_docs = n_sentences + len(doc), n_docs + len(part)
     n_words = len(vocabulary)
-    del vocabulary
     sent, word, doc, doc_of_pair, word_of_pair = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     feature, counts = np.frombuffer(feature, np.int32), np.frombuffer(counts, np.int32)
@@ -131,6 +138,9 @@ def fit_texts(
     feature, of_word = place[feature[known]], of_word[known]
     matters = np.bincount(of_word, minlength=n_words) > 0
     sent, word = sent[matters[word]], word[matters[word]]
+    names = [f for (w, _), m in zip(vocabulary.items(), matters.tolist(), strict=True) if m for f in word_features(w)]
+    names = sorted(set(names))
+    del vocabulary
 
     weights, bias = np.zeros(len(used)), START_BIAS
     seen, seen_bias = np.full(len(used), 1e-8), 1e-8
@@ -149,9 +159,8 @@ def fit_texts(
         seen_bias += grad_bias * grad_bias
         weights -= rate * grad / np.sqrt(seen)
         bias -= rate * grad_bias / np.sqrt(seen_bias)
-    full = np.zeros(FEATURES, np.float32)
-    full[used] = weights
-    return ToxicityModel(full, float(bias))
+    at = place[np.array(_hashed(names), np.int64)] if names else np.empty(0, np.int32)
+    return ToxicityModel({f: float(weights[k]) for f, k in zip(names, at.tolist(), strict=True) if k >= 0}, float(bias))
 
 
 def _telling(toxic: np.ndarray, word: np.ndarray, feature: np.ndarray, of_word: np.ndarray, n_words: int) -> np.ndarray:
@@ -204,12 +213,11 @@ def training_sample(
 
 
 def _batch_maker(model: ToxicityModel) -> Callable[[], Callable[[pa.Array], list[pa.Array]]]:
-    weights, bias = model.weights, model.bias
+    bias = model.bias
 
     def make():
         def weigh(token: str) -> tuple[float, bool]:
-            inside = _WORD.findall(token.lower())
-            return sum(float(weights[word_features(w)].sum(dtype=np.float64)) for w in inside), ends_sentence(token)
+            return sum([model.word_score(w) for w in _WORD.findall(token.lower())]), ends_sentence(token)
 
         known = Memo(lambda fresh: [weigh(t) for t in fresh])
 
