@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from vecgrid.llm.common import Memo, ragged_take, slices, stored, text_of, words
 
 WINDOW, END_ID = 1024, 0
-_PIECES = 4096  # rows in an output batch
+_ROWS, _PIECES = 2048, 4096  # documents encoded at once, rows in an output batch
 
 #: White space of the tokeniser's pattern (the Unicode property, unlike Python's own class).
 _BLANK = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -107,7 +107,7 @@ def tokenise(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, total = make_encoder(), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             ids = [x + end for x in encode(batch.column(1))]
             sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             starts = total + np.cumsum(sizes) - sizes
