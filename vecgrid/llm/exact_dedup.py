@@ -87,12 +87,13 @@ def keep_first(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: st
     Repeated rows (same id and text) count as one document: one of them stays.
     """
     verdict = dedup_batch(docs, index, id_col, text_col)
-    # Only losers are looked up: few rows, and none at all in a clean corpus.
+    # Only losers are looked up; none at all in a clean corpus.
     lost = stored(
         verdict.filter(~F.col("kept")).select(F.col(id_col).alias("_lost_id"), F.col(DIGEST).alias("_lost")).distinct(),
         "dedup-lost",
     )
     match = (F.col(id_col).eqNullSafe(F.col("_lost_id"))) & (normalised_digest(text_col) == F.col("_lost"))
-    kept = docs.join(lost, match, "left_anti")
+    # A sort-merge join at every size: one shuffle of the texts, whatever the share of copies.
+    kept = docs.join(lost.hint("merge"), match, "left_anti")
     repeated = verdict.filter("kept").groupBy(id_col, DIGEST).count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])

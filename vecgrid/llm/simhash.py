@@ -185,5 +185,6 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "near-ids",
     )
     lost = by_id.filter("NOT leads").select("_lost_id")
-    kept = docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost_id")), "left_anti")
+    # A sort-merge join at every size: one shuffle of the texts, whatever the share of copies.
+    kept = docs.join(lost.hint("merge"), F.col(id_col).eqNullSafe(F.col("_lost_id")), "left_anti")
     return kept if by_id.filter("leads AND n > 1").isEmpty() else kept.dropDuplicates([id_col])
