@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from vecgrid.llm import html_extract as H
 from vecgrid.llm import queries as Q
+from vecgrid.llm import shingle_join as J
 from vecgrid.llm import vector_search as V
 from vecgrid.llm import warc as W
 from vecgrid.session import scratch_path
@@ -268,3 +269,69 @@ def test_stages_on_odd_and_no_rows(spark):
             got = stage(spark, docs, SF)
             assert got.columns == docs.columns and got.count() <= n
         assert (corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0) == (n > 0)
+
+
+def near_copies():
+    """Texts of which some differ in a word or a few, some only by chains of such copies, and all share a passage."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(500)]
+    passage = " ".join(rng.choice(words, 30))
+    texts = []
+    for _ in range(12):
+        base = list(rng.choice(words, int(rng.integers(20, 300))))
+        for n in (0, 1, 1, 2, 4, 8):
+            own = list(base)
+            for at in rng.integers(0, len(own), n):
+                own[at] = str(rng.choice(words))
+            texts.append(" ".join(own) + " " + passage)
+            base = own if n == 1 else base
+    return texts + ["a b", "A  b", "a b c d e", "", None]
+
+
+def slow_sets(texts):
+    words = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def slow_groups(sets, least=0.8):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a | b and 10 * len(a & b) >= round(10 * least) * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_dedup_stage_against_brute_force_jaccard(spark):
+    texts = near_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = slow_groups(slow_sets(texts))
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = sorted(r.doc_id for r in stage(spark, docs, SF).collect())
+    assert kept == sorted(set(want)) and len(kept) < len(texts) - 20
+    got = {r.doc_id: r.component_id for r in J.near_groups(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("shingle,least", [(5, 0.5), (2, 0.9), (5, 1.0)])
+def test_near_groups_by_other_bounds(spark, shingle, least):
+    texts = [t for t in near_copies() if shingle == 5 or t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+    got = {r.doc_id: r.component_id for r in J.near_groups(docs, shingle=shingle, similarity=least).collect()}
+    assert [got[k] for k in range(len(texts))] == slow_groups(sets, least)
+
+
+def test_near_groups_of_documents(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    want = slow_groups(slow_sets([r.text for r in rows]))
+    got = {r.doc_id: r.component_id for r in J.near_groups(spark.createDataFrame(rows)).collect()}
+    assert [got[r.doc_id] for r in rows] == [rows[k].doc_id for k in want]

@@ -171,13 +171,16 @@ def fingerprint_hex(fp: str | Column = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_groups
+) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their near-duplicate group, columns as they are.
 
+    ``groups`` finds the groups: ``near_groups`` by fingerprints, or ``shingle_join.near_groups`` by exact similarity.
     An id stays if any of its rows leads a group; of rows that repeat an id, one stays. Rows with a NULL id
     stay (as one) only if they lead a group without any other id.
     """
-    verdict = near_groups(docs, id_col, text_col)
+    verdict = groups(docs, id_col, text_col)
     by_id = stored(
         verdict.groupBy(F.col(id_col).alias("_lost_id")).agg(
             F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("leads"), F.count(F.lit(1)).alias("n")
