@@ -223,3 +223,24 @@ def test_encoder_on_white_space(library):
     texts += ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 40, 2000)]
     got = [np.frombuffer(x, "<u4").tolist() for x in Q.byte_encoder()()(pa.array(texts))]
     assert got == library(texts)
+
+
+def test_added_tokens_as_the_library_has_them(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c ", " <|endoftext|>\n x", "<|endoftext|", "plain text", ""]
+    rng = np.random.default_rng(2)
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|", "endoftext", "|>", " ", "  ", "\n", "the", "é"], n)) for n in rng.integers(0, 12, 500)]
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert want[0].ids == [3826, 220, 50256, 994]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pieces = P.pack(docs, Q.byte_encoder(added=True), window=16).collect()
+    check_packing(pieces, dict(enumerate(texts)), lambda t: [e.ids for e in want], 16)
+
+
+def test_op9_on_a_table_with_added_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "see <|endoftext|> here")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (piece,) = Q.QUERIES["op9_packing"](spark, str(tmp_path)).collect()
+    assert piece.doc_tokens == 5 and piece.ids_crc32 == zlib.crc32(np.array([3826, 220, 50256, 994, 0], "<u4").tobytes())

@@ -9,11 +9,14 @@ crosses a cut becomes several pieces, its boundary records.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +36,16 @@ class RankEncoder:
 
     A text is cut where the tokeniser's own pattern always cuts, before single spaces, by Arrow kernels that also number
     the different words; a word is encoded once for as long as the bounded memo (two generations of ``memo`` words) holds
-    it, and the new words of a batch in one call. Strings of special tokens are ordinary text.
+    it, and the new words of a batch in one call. Strings in ``added`` become their one id, as added tokens of the library
+    do, and the parts between them are encoded by themselves; without ``added`` they are ordinary text.
     """
 
-    def __init__(self, ranks: str, pattern: str, memo: int = 400_000):
+    def __init__(self, ranks: str, pattern: str, memo: int = 400_000, added: dict[str, int] | None = None):
         import tiktoken
 
+        self.added = added or {}
+        self.cut = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
@@ -56,15 +63,20 @@ class RankEncoder:
         return [packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def _alone(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        ids: list[int] = []
+        for piece in re.split(f"({self.cut})", text) if self.added else [text]:
+            ids += [self.added[piece]] if piece in self.added else self.encoding.encode_ordinary(piece)
+        return np.array(ids, "<u4").tobytes()
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; NULL is the empty text."""
         for part in slices(texts):
             different, number, at = words(part, " ")
-            # runs of spaces, spaces at an end and white space after a space: such texts are encoded by themselves
+            # runs of spaces, spaces at an end, white space after a space, added tokens: such texts are encoded by themselves
             rare = np.array([not w or w[0] in _BLANK for w in different])
             slow = np.logical_or.reduceat(rare[number], at[:-1])
+            for token in self.added:
+                slow |= pc.match_substring(part, token).to_numpy(zero_copy_only=False)
             ids = self.known.of(["-" if r else w for w, r in zip(different, rare.tolist(), strict=True)] if rare.any() else different)
             # the first word of a text has no space before it, and a slow text is one entry as a whole
             heads = number[at[:-1]].tolist()
@@ -84,6 +96,15 @@ class RankEncoder:
                 yield flat[a:b].tobytes()
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens of a ``tokenizers`` file; these are found in the raw text before anything else."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError("added tokens that take in white space or stand for whole words only")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def tokenise(
     docs: DataFrame,
     make_encoder: Callable[[], Callable[[pa.Array], Iterable[bytes]]],

@@ -131,14 +131,16 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(table(spark, sf, "documents"), byte_encoder(), with_ids=False)
+    return packing.pack(table(spark, sf, "documents"), byte_encoder(added=True), with_ids=False)
 
 
-def byte_encoder() -> Callable[[], packing.RankEncoder]:
+def byte_encoder(added: bool = False) -> Callable[[], packing.RankEncoder]:
+    """Encoder by the public byte-level vocabulary; ``added``: with the added tokens of its JSON file, as the library has it."""
     from public_tokenizers import PATTERN
 
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
-    return lambda: packing.RankEncoder(ranks, PATTERN)
+    tokens = packing.added_tokens(tokenizer_file("byte_bpe_50k.json")) if added else None
+    return lambda: packing.RankEncoder(ranks, PATTERN, added=tokens)
 
 
 @query
