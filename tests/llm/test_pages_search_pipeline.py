@@ -335,3 +335,15 @@ def test_near_groups_of_documents(spark):
     want = slow_groups(slow_sets([r.text for r in rows]))
     got = {r.doc_id: r.component_id for r in J.near_groups(spark.createDataFrame(rows)).collect()}
     assert [got[r.doc_id] for r in rows] == [rows[k].doc_id for k in want]
+
+
+def test_parser_keeps_the_rest_of_the_page():
+    runs = lambda page: [t for t in H.parse(page).text if t is not None]
+    for tag in ("select", "svg", "template", "noscript", "iframe", "video", "audio", "canvas", "object", "math"):
+        assert runs(f"<{tag} class=x><article><p>kept</p></article>") == ["kept"], tag
+    assert runs("<select><option>1</select><p>a<select><p>b<select><option>2</select>c") == ["a", "bc"]
+    assert runs("<p>a<svg><svg><text>no</text></svg>no</svg>b<!-- <svg> --><svg/>c") == ["abc"]
+    assert runs("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <object>fallback</object>") == ["if x=1 then fallback"]
+    assert runs("<p>a<style>never <p>ends") == ["a"]
+    tree = H.parse(f'<div class="{"flex-1 " * 60}sidebar"><p>x</div>')
+    assert "sidebar" in tree.names[1]

@@ -33,13 +33,22 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements whose whole content is never shown as text.
-SKIPPED = frozenset("script style noscript template iframe svg math title textarea object canvas audio video select".split())
+SKIPPED = frozenset("script style noscript template iframe svg title textarea select".split())
+#: Of these, the ones that hold raw text: without an end tag they go on to the end of the page.
+RAW_TEXT = frozenset("script style textarea title".split())
+_SKIPPED_TAG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW_TEXT))})(?=[\s/>]).*?(?:</(?i:\1)(?=[\s/>])|\Z)"
+    rf"|<(/?)({'|'.join(sorted(SKIPPED - RAW_TEXT))})(?=[\s/>])[^>]*+>?",
+    re.S | re.I,
+)
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that flow within a line and so neither make a node nor end a run.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span "
-    "strike strong sub sup time tt u var nobr".split()
+    "strike strong sub sup time tt u var nobr object canvas audio video math mi mn mo ms mtext mspace mrow mfrac msqrt mroot "
+    "mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction "
+    "semantics annotation annotation-xml".split()
 )
 #: An opening tag closes an open element of these kinds within the given scope.
 CLOSES = {
@@ -75,6 +84,21 @@ class Tree:
         return len(self.parent) - 1
 
 
+def skipped_ends(page: str) -> dict[int, int]:
+    """Where each skipped element that has an end tag of its own ends, by where it begins; raw-text elements aside."""
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for m in _SKIPPED_TAG.finditer(page):
+        if m.group(3) is None or m.group(0).endswith("/>"):
+            continue
+        begun = opened.setdefault(m.group(3).lower(), [])
+        if not m.group(2):
+            begun.append(m.start())
+        elif begun:
+            ends[begun.pop()] = m.end()
+    return ends
+
+
 def parse(page: str | None) -> Tree:
     """Tolerant tree of a page. Runs are decoded, white space in them is one space, blank runs make no node."""
     page = page or ""
@@ -82,6 +106,7 @@ def parse(page: str | None) -> Tree:
     run: list[str] = []
     linked = 0
     in_link = False
+    ends_at: dict[int, int] | None = None
 
     def end_run() -> None:
         nonlocal linked
@@ -110,7 +135,11 @@ def parse(page: str | None) -> Tree:
             continue
         tag, closing = m.group(2).lower(), bool(m.group(1))
         if tag in SKIPPED:
-            if not closing and not m.group(0).endswith("/>"):
+            if not closing and tag not in RAW_TEXT:
+                if ends_at is None:
+                    ends_at = skipped_ends(page)
+                at = ends_at.get(m.start(), at)  # without an end tag only the tag goes
+            elif not closing and not m.group(0).endswith("/>"):
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 if end is None:
                     break
@@ -150,7 +179,7 @@ def parse(page: str | None) -> Tree:
         names = []
         for a in _ATTRIBUTE.finditer(m.group(3)):
             value = a.group(2) or a.group(3) or a.group(4) or ""
-            names += [w.lower() for w in _WORD.findall(value[:200])]
+            names += [w.lower() for w in _WORD.findall(value)]
         stack.append(tree.add(stack[-1], tag, tuple(dict.fromkeys(names))))
     end_run()
     return tree
