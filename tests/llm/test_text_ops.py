@@ -251,3 +251,19 @@ def test_codec_odd_rows(spark, model):
         assert ids == model[1].encode(r.text or "", add_bos=True, add_eos=True) and r.r.n_tokens == len(ids)
         assert r.r.decoded == model[1].decode(ids) and r.r.mismatches == 0
     assert no_docs(spark).select(C.codec(model[0])(F.col("text")).alias("r")).count() == 0
+
+
+def test_op5_counts_long_words(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    v = K.Vocabulary.of_piece_model(Q.tokenizer_file("piece_bpe_32k.model"))
+    vocab = {"[UNK]": 0}
+    for p in [*sorted(v.initial), *("##" + c for c in sorted(v.continuing))]:
+        vocab.setdefault(p, len(vocab))
+    library = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=1_000_000))
+    library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    texts = ["a" * 99, "a" * 100, "a" * 101, "see " + "https/example/" * 40 + " here " + "no" * 900, "the", "a" * 101 + "\x01" + " end", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    encoded = library.encode_batch([t or "" for t in texts])
+    got = {r.doc_id: (r.n_tokens, r.n_unknown) for r in Q.QUERIES["op5_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == {k: (len(e.ids), e.ids.count(0)) for k, e in enumerate(encoded)} and got[3][0] > 200

@@ -98,7 +98,7 @@ def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
-    return token_count.count_tokens(table(spark, sf, "documents"), lambda: token_count.Vocabulary.of_piece_model(path))
+    return token_count.count_tokens(table(spark, sf, "documents"), lambda: token_count.Vocabulary.of_piece_model(path), max_word=None)
 
 
 @query

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from vecgrid.llm.common import Memo, per_text, slices, words
 
-MAX_WORD = 100  # a longer word counts as one unknown token, as the tokenisers library has it
+MAX_WORD = 100  # default: a longer word counts as one unknown token, as the tokenisers library has it; the query has no bound
+_MEMO_CHARS = 100  # longer words are counted each time, so that the memo stays small
 
 
 @dataclass(frozen=True)
@@ -133,11 +134,15 @@ def counter(make_vocabulary: Callable[[], Vocabulary], max_word: int | None = MA
 
         known = Memo(lambda fresh: [one(w) if w else -1 for w in fresh])
 
+        def counts_of(different: list[str]) -> list[int]:
+            out = known.of([w if len(w) <= _MEMO_CHARS else "" for w in different])
+            return [n if len(w) <= _MEMO_CHARS else one(w) for n, w in zip(out, different, strict=True)]
+
         def batch(texts: pa.Array) -> list[pa.Array]:
             out = [np.zeros((0, 3), np.int64)]
             for part in slices(texts):
                 different, number, at = words(part)
-                counts = np.array(known.of(different), np.int64)
+                counts = np.array(counts_of(different), np.int64)
                 kinds = np.stack([counts >= 0, np.where(counts == 0, 1, counts) * (counts >= 0), counts == 0], axis=1)
                 sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(kinds[number], axis=0)])
                 out.append(sums[at[1:]] - sums[at[:-1]])
@@ -148,6 +153,8 @@ def counter(make_vocabulary: Callable[[], Vocabulary], max_word: int | None = MA
     return per_text(make, SCHEMA)
 
 
-def count_tokens(docs, make_vocabulary: Callable[[], Vocabulary], id_col: str = "doc_id", text_col: str = "text"):
+def count_tokens(
+    docs, make_vocabulary: Callable[[], Vocabulary], id_col: str = "doc_id", text_col: str = "text", max_word: int | None = MAX_WORD
+):
     """(id, n_words, n_tokens, n_unknown) for each row, ids NULL or repeated included; other columns are not read."""
-    return docs.select(F.col(id_col), counter(make_vocabulary)(F.col(text_col)).alias("_r")).select(id_col, "_r.*")
+    return docs.select(F.col(id_col), counter(make_vocabulary, max_word)(F.col(text_col)).alias("_r")).select(id_col, "_r.*")
