@@ -253,7 +253,7 @@ def test_pipeline_against_brute_force(spark, library):  # noqa: F811
     for r in sorted(clean, key=lambda r: r.doc_id):
         first.setdefault(digest(r.text), r)
     kept = sorted(first.values(), key=lambda r: r.doc_id)
-    root = slow_components([slow_fingerprint(r.text) for r in kept])
+    root = slow_groups(slow_sets([r.text for r in kept]))
     want = {r.doc_id: r.text for k, r in enumerate(kept) if root[k] == k}
     assert {r.doc_id for r in before.collect()} == set(want)
     check_packing(corpus_pipeline.run(spark, SF).collect(), want, library)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,14 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 500_000  # of a narrow table that is sent to every task; larger ones meet in a sort-merge join
+
+
+def sized(narrow: DataFrame) -> DataFrame:
+    """A written table of ids or digests with the join that its counted rows allow: broadcast if they are few, merge otherwise."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow.hint("merge")
+
+
 def text_of(col: str) -> Column:
     """A text column with NULL as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -49,6 +58,7 @@ def per_text(make: Callable[[], Callable[[pa.Array], list[pa.Array]]], schema: s
     in, one Arrow array for each field out. Only the argument goes through Python.
     Marked as not deterministic so that the planner never evaluates it twice.
     """
+    bounded_batches()
     names = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", schema)]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -59,21 +69,33 @@ def per_text(make: Callable[[], Callable[[pa.Array], list[pa.Array]]], schema: s
     return F.arrow_udf(run, schema).asNondeterministic()
 
 
-SLICE_BYTES = 12 << 20  # of text that is cut into words at once
+BATCH_BYTES = 8 << 20  # of a batch that Spark sends to Python, or a single row
+SLICE_BYTES = 3 << 20  # of text that is cut into words at once
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Consecutive parts of an array of texts, NULL as empty, each of about ``SLICE_BYTES`` or a single text."""
-    texts = pc.fill_null(texts, "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+def bounded_batches(spark: SparkSession | None = None) -> None:
+    """Have Spark cut batches for Python by bytes, so that rows of any length take the same memory."""
+    (spark or SparkSession.active()).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def spans(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive runs of an array of texts, each of about ``size`` bytes or a single text."""
+    ends = np.cumsum(pc.binary_length(pc.fill_null(texts, "")).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         before = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
-        yield texts.slice(at, stop - at)
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield at, stop - at
         at = stop
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive parts of an array of texts, NULL as empty, each of about ``SLICE_BYTES`` or a single text."""
+    texts = pc.fill_null(texts, "")
+    for first, n in spans(texts):
+        yield texts.slice(first, n)
+
+
 def words(texts: pa.Array, by: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Cut texts at ``by`` (None: at white space) and number the different words.
 
@@ -94,23 +116,28 @@ def ragged_take(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
-class Memo(dict):
-    """Values by word, in two generations: when ``limit`` are held they become the old ones, which stay until
-    the next change unless they are used again. ``fn`` computes the values of a list of new words."""
+MEMO_BYTES = 24 << 20  # of words and their values that a memo holds, both generations together
+_ENTRY = 150  # bytes that an entry takes beside its word and value
+
+
+class Memo:
+    """Values by word, in two generations: when the new one holds half of ``limit`` bytes it becomes the old one, which stays
+    until the next change unless its words are used again. ``fn`` computes the values of a list of new words."""
 
-    def __init__(self, fn: Callable[[list[str]], list], limit: int = 400_000):
-        super().__init__()
-        self.fn, self.limit, self.old = fn, limit, {}
+    def __init__(self, fn: Callable[[list[str]], list], limit: int = MEMO_BYTES):
+        self.fn, self.limit = fn, limit
+        self.new, self.old, self.size = {}, {}, 0
 
     def of(self, different: list[str]) -> list:
         """Values of different words; the new ones are computed together."""
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        fresh = [w for w in different if w not in self]
+        if self.size >= self.limit // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        new, old = self.new, self.old
+        fresh = [w for w in different if w not in new]
         if fresh:
-            old = self.old
-            new = [w for w in fresh if w not in old]
-            self.update((w, old[w]) for w in fresh if w in old)
-            self.update(zip(new, self.fn(new), strict=True))
-        return list(map(self.__getitem__, different))
+            unknown = [w for w in fresh if w not in old]
+            found = dict(zip(unknown, self.fn(unknown), strict=True))
+            found.update((w, old[w]) for w in fresh if w in old)
+            self.size += sum(map(getsizeof, found)) + sum(map(getsizeof, found.values())) + _ENTRY * len(found)
+            new.update(found)
+        return list(map(new.__getitem__, different))

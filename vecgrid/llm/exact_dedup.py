@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecgrid.llm.common import SPACE, stored, text_of
+from vecgrid.llm.common import SPACE, sized, stored, text_of
 
 BUCKETS = 64
 #: Columns of the index.
@@ -93,7 +93,6 @@ def keep_first(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: st
         "dedup-lost",
     )
     match = (F.col(id_col).eqNullSafe(F.col("_lost_id"))) & (normalised_digest(text_col) == F.col("_lost"))
-    # A sort-merge join at every size: one shuffle of the texts, whatever the share of copies.
-    kept = docs.join(lost.hint("merge"), match, "left_anti")
+    kept = docs.join(sized(lost), match, "left_anti")
     repeated = verdict.filter("kept").groupBy(id_col, DIGEST).count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecgrid.llm.common import per_text
+from vecgrid.llm.common import bounded_batches, per_text
 
 PROFILE = 400  # n-grams in a profile
 UNKNOWN = "und"
@@ -115,6 +115,7 @@ def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                         held, size = {}, 0
         yield from flush()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counted = rows.select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(run, "lang string, code long, n long")
     sums = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecgrid.llm.common import Memo, ragged_take, slices, stored, text_of, words
+from vecgrid.llm.common import MEMO_BYTES, Memo, bounded_batches, ragged_take, slices, spans, stored, text_of, words
 
 WINDOW, END_ID = 1024, 0
-_ROWS, _PIECES = 2048, 4096  # documents encoded at once, rows in an output batch
+_PIECES = 1024  # rows in an output batch
 
 #: White space of the tokeniser's pattern (the Unicode property, unlike Python's own class).
 _BLANK = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -35,12 +35,12 @@ class RankEncoder:
     """Texts to ids by a byte-level BPE vocabulary in a file of ranks, as the ``tokenizers`` library has it.
 
     A text is cut where the tokeniser's own pattern always cuts, before single spaces, by Arrow kernels that also number
-    the different words; a word is encoded once for as long as the bounded memo (two generations of ``memo`` words) holds
+    the different words; a word is encoded once for as long as the bounded memo (``memo`` bytes) holds
     it, and the new words of a batch in one call. Strings in ``added`` become their one id, as added tokens of the library
     do, and the parts between them are encoded by themselves; without ``added`` they are ordinary text.
     """
 
-    def __init__(self, ranks: str, pattern: str, memo: int = 400_000, added: dict[str, int] | None = None):
+    def __init__(self, ranks: str, pattern: str, memo: int = MEMO_BYTES, added: dict[str, int] | None = None):
         import tiktoken
 
         self.added = added or {}
@@ -114,6 +114,7 @@ def tokenise(
 ) -> DataFrame:
     """First pass, written: (_id, part, start, doc_tokens, ids) for each row; ``start`` counts the ids of
     the rows before it in the same task, ``ids`` ends with ``end_id``."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     schema = T.StructType(
         [
@@ -128,7 +129,7 @@ def tokenise(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, total = make_encoder(), TaskContext.get().partitionId(), 0
-        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+        for batch in (b.slice(k, n) for b in batches for k, n in spans(b.column(1))):
             ids = [x + end for x in encode(batch.column(1))]
             sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             starts = total + np.cumsum(sizes) - sizes

@@ -21,11 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 
-from vecgrid.llm.common import Memo, per_text, ragged_take, slices
+from vecgrid.llm.common import MEMO_BYTES, Memo, per_text, ragged_take, slices
 from vecgrid.llm.common import words as cut_words
 
 MARK = "▁"
-MEMO = 400_000  # words in each of two generations
 _SHORT = 48  # longer words are merged one by one
 _WORDS, _SLICE = 200_000, 1 << 20  # words and characters handled at once
 
@@ -33,11 +32,11 @@ _WORDS, _SLICE = 200_000, 1 << 20  # words and characters handled at once
 class PieceCodec:
     """Encoder and decoder of one model file. Raises ValueError for models that it does not cover."""
 
-    def __init__(self, path: str, check: bool = True, memo: int = MEMO):
+    def __init__(self, path: str, check: bool = True, memo: int = MEMO_BYTES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.library, self.check, self.limit = model, check, memo
+        self.library, self.check = model, check
         n = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
         ordinary = [not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)) for i in range(n)]

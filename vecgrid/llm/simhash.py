@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecgrid.llm.common import per_text, stored
+from vecgrid.llm.common import per_text, sized, stored
 from vecgrid.llm.components import components
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 2, 5
@@ -44,13 +44,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         digest = xxhash.xxh64_intdigest
         spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
         hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
-        counts += _bit_counts(hashes)
+        counts += bit_counts(hashes)
         total += n
     bits = (2 * counts > total).astype(np.uint64)
     return int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many hashes have each of the 64 bits: byte lanes are summed, at most 255 hashes at a time."""
     n = -(-len(hashes) // 255) * 255
     rows = np.concatenate([hashes, np.zeros(n - len(hashes), np.uint64)]).reshape(-1, 255)
@@ -187,7 +187,6 @@ def keep_representatives(
         ),
         "near-ids",
     )
-    lost = by_id.filter("NOT leads").select("_lost_id")
-    # A sort-merge join at every size: one shuffle of the texts, whatever the share of copies.
-    kept = docs.join(lost.hint("merge"), F.col(id_col).eqNullSafe(F.col("_lost_id")), "left_anti")
+    lost = sized(by_id.filter("NOT leads").select("_lost_id"))
+    kept = docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost_id")), "left_anti")
     return kept if by_id.filter("leads AND n > 1").isEmpty() else kept.dropDuplicates([id_col])

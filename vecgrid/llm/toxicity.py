@@ -23,7 +23,7 @@ from vecgrid.llm.common import Memo, per_text, ragged_take, slices, text_of, wor
 FEATURES = 1 << 18  # hash places of features while a model is fitted
 SENTENCE_WORDS = 40  # a longer run without an end of sentence is cut after so many tokens
 START_BIAS = -9.0
-MAX_TRAIN_DOCS = 5_000  # bound of the labelled sample that a model is fitted on
+MAX_TRAIN_DOCS = 10_000  # bound of the labelled sample that a model is fitted on
 MAX_TRAIN_CHARS = 60_000  # longer texts are not drawn into that sample; all are scored
 _WORD = re.compile(r"\w+")
 
@@ -76,13 +76,15 @@ def ends_sentence(token: str) -> bool:
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "_order") -> ToxicityModel:
     """Fit on ``labelled``, a sample that the caller has bounded (see ``training_sample``); rows with a NULL label are left out."""
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(order_col, label_col, text_col).toArrow().to_pylist()
-    rows = sorted((r[order_col] is None, r[order_col] or 0, float(r[label_col]), r[text_col] or "") for r in rows)
-    return fit_texts([r[3] for r in rows], [r[2] for r in rows])
+    rows = labelled.filter(F.col(label_col).isNotNull()).select(
+        F.col(order_col).alias("o"), F.col(label_col).cast("double").alias("y"), text_of(text_col).alias("t")
+    )
+    rows = rows.toArrow().sort_by([("o", "ascending"), ("y", "ascending"), ("t", "ascending")]).combine_chunks()
+    return fit_texts(rows["t"].combine_chunks(), rows["y"].to_pylist())
 
 
 def fit_texts(
-    texts: list[str], labels: list[float], epochs: int = 400, rate: float = 0.3, decay: float = 1e-5
+    texts: list[str] | pa.Array, labels: list[float], epochs: int = 400, rate: float = 0.3, decay: float = 1e-5
 ) -> ToxicityModel:
     """Full-batch AdaGrad on the noisy-or likelihood.
 
@@ -97,7 +99,7 @@ def fit_texts(
     feature, counts = array("i"), array("i")
     parts: list[tuple[np.ndarray, ...]] = []
     n_sentences = n_docs = 0
-    for part in slices(pa.array(texts, pa.string())):
+    for part in slices(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
         different, token, at = words(part)
         inside, sizes = array("i"), np.zeros(len(different), np.int64)
         for k, t in enumerate(different):
@@ -196,11 +198,10 @@ def training_sample(
         .groupBy(F.col(id_col).alias("_drawn"))
         .agg(F.max(label_col).alias("label"))
     )
-    n = drawn.count()
-    if n > max_docs:  # thin the rows out before they are ordered, so that tasks send few
-        share = min(1.0, 1.5 * max_docs / n + 100 / n)
-        drawn = drawn.filter(F.pmod(F.xxhash64("_drawn", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    drawn = drawn.orderBy(F.xxhash64("_drawn"), "_drawn").limit(max_docs)
+    # Rows too late in this order to be drawn go before it is made, so that tasks send few; which are drawn does not change.
+    share = min(1.0, (1.5 * max_docs + 100) / max(1, drawn.count()))
+    order = F.pmod(F.xxhash64("_drawn"), F.lit(1_000_000))
+    drawn = drawn.filter(order < int(share * 1_000_000) + 1).orderBy(order, "_drawn").limit(max_docs)
     texts = docs.filter(F.length(text_of(text_col)) <= max_chars).select(
         F.col(id_col).alias("_drawn"), text_of(text_col).alias("_text")
     )
