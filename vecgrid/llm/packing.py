@@ -16,22 +16,18 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecgrid.llm.common import MEMO_BYTES, Memo, bounded_batches, ragged_take, slices, spans, stored, text_of, words
+from vecgrid.llm.common import MEMO_BYTES, SpaceCutEncoder, bounded_batches, spans, stored, text_of
 
 WINDOW, END_ID = 1024, 0
 _PIECES = 1024  # rows in an output batch
 
-#: White space of the tokeniser's pattern (the Unicode property, unlike Python's own class).
-_BLANK = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-
-class RankEncoder:
+class RankEncoder(SpaceCutEncoder):
     """Texts to ids by a byte-level BPE vocabulary in a file of ranks, as the ``tokenizers`` library has it.
 
     A text is cut where the tokeniser's own pattern always cuts, before single spaces, by Arrow kernels that also number
@@ -43,6 +39,7 @@ class RankEncoder:
     def __init__(self, ranks: str, pattern: str, memo: int = MEMO_BYTES, added: dict[str, int] | None = None):
         import tiktoken
 
+        super().__init__(memo)
         self.added = added or {}
         self.cut = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
 
@@ -52,7 +49,6 @@ class RankEncoder:
         self.token_bytes = np.zeros(max(merges.values()) + 1, np.int64)
         for token, rank in merges.items():
             self.token_bytes[rank] = len(token)
-        self.known = Memo(self._encode, memo)
 
     def _encode(self, fresh: list[str]) -> list[bytes]:
         """Ids of words that follow a space. In a row they are still cut before each space, so one call does for all."""
@@ -68,33 +64,6 @@ class RankEncoder:
             ids += [self.added[piece]] if piece in self.added else self.encoding.encode_ordinary(piece)
         return np.array(ids, "<u4").tobytes()
 
-    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; NULL is the empty text."""
-        for part in slices(texts):
-            different, number, at = words(part, " ")
-            # runs of spaces, spaces at an end, white space after a space, added tokens: such texts are encoded by themselves
-            rare = np.array([not w or w[0] in _BLANK for w in different])
-            slow = np.logical_or.reduceat(rare[number], at[:-1])
-            for token in self.added:
-                slow |= pc.match_substring(part, token).to_numpy(zero_copy_only=False)
-            ids = self.known.of(["-" if r else w for w, r in zip(different, rare.tolist(), strict=True)] if rare.any() else different)
-            # the first word of a text has no space before it, and a slow text is one entry as a whole
-            heads = number[at[:-1]].tolist()
-            ids += [
-                self._alone(part[k].as_py() if s else different[h]) for k, (s, h) in enumerate(zip(slow.tolist(), heads, strict=True))
-            ]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            entry = number.copy()
-            entry[at[:-1]] = len(different) + np.arange(len(part))
-            taken = sizes[entry]
-            rest = np.repeat(slow, np.diff(at))
-            rest[at[:-1]] = False
-            taken[rest] = 0
-            flat = ragged_take(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(sizes) - sizes)[entry], taken)
-            bounds = np.concatenate([[0], np.cumsum(taken)])[at].tolist()
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                yield flat[a:b].tobytes()
-
 
 def added_tokens(path: str) -> dict[str, int]:
     """Ids of the added tokens of a ``tokenizers`` file; these are found in the raw text before anything else."""

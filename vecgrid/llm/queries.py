@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecgrid.llm import (
+    bpe_tree,
     exact_dedup,
     html_extract,
     langid,
     packing,
     piece_codec,
+    ranked_search,
     simhash,
+    spelling,
     token_count,
     toxicity,
     vector_search,
@@ -155,6 +158,69 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
            FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
 
+
+@query
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.top_k(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op11_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS_SQL} AS t FROM documents),
+     c AS (SELECT count(*)::BIGINT AS nn, sum(len(t))::BIGINT AS ll FROM d WHERE len(t) > 0),
+     p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+     w AS (SELECT term, floor(1000 * ln((2 * max(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term),
+     m AS (SELECT r, doc_id, 10 + (90 * len(t) * nn) // ll AS m FROM d, c WHERE len(t) > 0),
+     i AS (SELECT item_id, unnest(list_distinct({TERMS_SQL})) AS term FROM benchmark),
+     s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+     k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
+@query
+def op12_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    got = bpe_tree.encode_documents(table(spark, sf, "documents"), path, PATTERN, with_values=False)
+    return got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"))
+
+
+def _crc_entry(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+CRC_TABLE_SQL = "[" + ", ".join(str(_crc_entry(b)) for b in range(256)) + "]"
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE r AS (
+       SELECT doc_id, run, count(*)::BIGINT AS n
+       FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY doc_id, run),
+     b AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM r),
+     c AS (SELECT run, n, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+                  lambda s, x: xor({CRC_TABLE_SQL}[(xor(s, x) & 255) + 1], s >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM b),
+     w AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM c),
+     v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+     e AS (SELECT word, i, length(word) AS size, substr(word, 1, i - 1) || substr(word, i + 1) AS g
+           FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+     p AS (SELECT a.word AS x, b.word AS y FROM e a JOIN e b ON a.g = b.g AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+           UNION SELECT e.word, v.word FROM e JOIN v ON v.word = e.g UNION SELECT v.word, e.word FROM e JOIN v ON v.word = e.g),
+     q AS (SELECT x AS word, y AS near, v.n AS m, count(*) OVER (PARTITION BY x) AS n_near,
+                  row_number() OVER (PARTITION BY x ORDER BY v.n DESC, encode(y)) AS k FROM p JOIN v ON v.word = y),
+     f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * v.n THEN near END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+           FROM v LEFT JOIN (SELECT * FROM q WHERE k = 1) q ON q.word = v.word),
+     t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word JOIN f AS last ON last.word = t.root WHERE last.form IS NULL"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
