@@ -85,17 +85,18 @@ def build_map(
     coords: Sequence[str] | None = None,
     k: int = 20,
     permutations: int = 512,
-    trees: int = 8,
+    trees: int | None = None,
     cat_cols: Sequence[str] = (),
     link: bool = False,
     kind: str = "mhfp",
+    kc: int = 10,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a map: the spanning forest of the neighbour graph.
 
     Neighbours come from signatures of ``col`` (see ``map_edges``), or from ``coords`` if given.
     """
-    return map_nodes(df, col, cat_cols, link), map_edges(df, id_col, col, coords, k, permutations, trees, kind, **options)
+    return map_nodes(df, col, cat_cols, link), map_edges(df, id_col, col, coords, k, permutations, trees, kind, kc, **options)
 
 
 def map_nodes(df: DataFrame, col: str, cat_cols: Sequence[str] = (), link: bool = False) -> DataFrame:
@@ -113,8 +114,9 @@ def map_edges(
     coords: Sequence[str] | None = None,
     k: int = 20,
     permutations: int = 512,
-    trees: int = 8,
+    trees: int | None = None,
     kind: str = "mhfp",
+    kc: int = 10,
     **options,
 ) -> DataFrame:
     """Edge table of a map.
@@ -131,4 +133,4 @@ def map_edges(
         signed = features.featurize(slim, col, kind, "_sig", fp_size=permutations, **options)
     else:
         signed = features.featurize(slim, col, kind, "_sig", **options)
-    return spanning_forest(knn_minhash(signed, id_col, "_sig", permutations, k, trees))
+    return spanning_forest(knn_minhash(signed, id_col, "_sig", permutations, k, trees, kc))

@@ -1,8 +1,8 @@
 """k-nearest-neighbour graphs over MinHash signatures and over coordinates.
 
-Neither operator emits all pairs of a bucket. Both cut sorted data into blocks of
+Neither operator emits all pairs of a bucket beyond a fixed size. Both cut sorted data into pieces of
 a fixed number of rows, so a bucket, a cell or a set of copies that holds much
-of the data is many blocks, not one task.
+of the data is many pieces, not one task.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from vecgrid.operators.ranking import ranked
 from vecgrid.operators.skew import lookup_join
 from vecgrid.session import stable
 
-BLOCK_ROWS = 2048  # signatures per block
+MAX_TREES = 64  # trees of a prefix forest unless told otherwise
 POINT_ROWS = 512  # points per block, unless that makes too many blocks
 MAX_BLOCKS = 20_000  # bounding boxes shipped to every task: 1 MB at three coordinates
 CHUNK = 1 << 21  # distances a task holds at a time
@@ -33,37 +33,32 @@ CHUNK = 1 << 21  # distances a task holds at a time
 # ---------------------------------------------------------------- MinHash
 
 
-def forest_window(k: int, kc: int, trees: int) -> int:
-    """Rows read on either side in each tree, for k * kc candidates or more in all."""
-    return max(k, ceil(k * kc / (2 * trees)))
-
-
 def knn_minhash(
     df: DataFrame,
     id_col: str,
     sig: str,
     permutations: int,
     k: int = 20,
-    trees: int = 8,
+    trees: int | None = None,
     kc: int = 10,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """LSH forest neighbours: (src, dst, matches, weight, rank), at most k per src.
+    """Neighbours by a prefix forest over signatures: (src, dst, matches, weight, rank), at most k per src.
 
-    Rows with equal signatures are one node with its k + 1 smallest ids, so copies, however many, take one place. As in an LSH
-    forest, a tree is the nodes sorted by the signature from one of its slices on, and a query reads the nodes closest
-    in that order, those sharing the longest prefix. ``kc`` is the recall parameter: candidates per wanted neighbour,
-    over all trees. All candidates are scored by equal positions; the k best ids with at least one match are kept (ties:
-    smaller id). ``weight`` is 1 - estimated Jaccard similarity.
+    Rows with equal signatures are one node with its k + 1 smallest ids, so copies, however many, take one place. A tree reads
+    the signature from one position on, taken round. Nodes that begin alike in a tree are a group, and a group of at most
+    ``k * kc`` nodes is compared in full: with a tree at every position (the default, up to ``MAX_TREES``) no pair with any match is
+    lost. A larger group goes on to longer prefixes: its nodes are sorted by the rest of the signature, which puts the deepest
+    prefixes side by side, and cut into overlapping pieces of ``k * kc``, so that every node meets at least half as many of those
+    with which it shares the longest prefixes, in each tree. ``kc`` is thus the recall parameter, and it matters only for such groups.
+    All candidates are scored by equal positions; the k best ids with at least one match are kept (ties: smaller id).
+    ``weight`` is 1 - estimated Jaccard similarity.
 
     Rows that repeat an id and signature count once, and an id is never its own neighbour. Rows without signature have no neighbours.
-    Work is nodes x trees x window whatever the distribution of signatures.
+    Work is at most nodes x trees x 2 k kc comparisons whatever the distribution of signatures.
     """
-    depth = permutations // trees
-    if depth < 1:
+    trees = min(permutations, MAX_TREES) if trees is None else trees
+    if not 1 <= trees <= permutations:
         raise ValueError("more trees than permutations")
-    window = forest_window(k, kc, trees)
-    block_rows = max(block_rows, window)
     every = stable(df.filter(F.col(sig).isNotNull()).select(F.col(id_col).alias("id"), F.col(sig).alias("sig")).distinct())
     bad = every.filter(F.size("sig") != permutations)
     if not bad.isEmpty():
@@ -77,40 +72,17 @@ def knn_minhash(
         .withColumn("id", F.get("ids", F.lit(0)))
     )
     rows = nodes.select("id", "sig")
-
-    # The rest of the signature, taken round, breaks ties of a slice: an order of the nodes in each tree, with no id in it.
-    turned = [
-        F.concat(F.slice("sig", t * depth + 1, permutations - t * depth), F.slice("sig", 1, t * depth)) if t else F.col("sig")
-        for t in range(trees)
-    ]
-    keys = [F.struct(F.lit(t).alias("tree"), key.alias("key")) for t, key in enumerate(turned)]
-    placed = ranked(
-        rows.select("id", F.explode(F.array(*keys)).alias("k")).select("id", "k.tree", "k.key"), ["key"], ["tree"], "rank"
-    ).select("id", "tree", "rank")
-
-    # Each row goes to its own block and, near an end, also to the next one over.
-    at, block = F.pmod(F.col("rank") - 1, F.lit(block_rows)), F.floor((F.col("rank") - 1) / block_rows)
-    visits = F.filter(
-        F.array(
-            F.struct(block.alias("block"), F.lit(True).alias("home")),
-            F.struct(F.when(at < window, block - 1).alias("block"), F.lit(False).alias("home")),
-            F.struct(F.when(at >= block_rows - window, block + 1).alias("block"), F.lit(False).alias("home")),
-        ),
-        lambda v: v["block"].isNotNull() & (v["block"] >= 0),
-    )
-    spread = placed.select("id", "tree", "rank", F.explode(visits).alias("v")).select("id", "tree", "rank", "v.*")
-    id_type = rows.schema["id"].dataType
-    pair_schema = T.StructType(
-        [T.StructField("src", id_type), T.StructField("dst", id_type), T.StructField("matches", T.IntegerType())]
-    )
+    pairs = stable(_forest_pairs(rows, permutations, trees, max(2, k * kc)))
+    same = F.aggregate(F.zip_with("sig", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     scored = (
-        spread.join(rows, "id")
-        .groupBy("tree", "block")
-        .applyInPandas(lambda pdf: _score_block(pdf, window, k), pair_schema)
+        pairs.join(rows.withColumnRenamed("id", "a"), "a")
+        .join(rows.select(F.col("id").alias("b"), F.col("sig").alias("other")), "b")
+        .select("a", "b", same.alias("matches"))
     )
-    unique = scored.repartition("src").dropDuplicates(["src", "dst"])  # one shuffle serves both steps
+    sides = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    sides = scored.select(F.explode(sides).alias("s"), "matches").select("s.*", "matches").filter("matches > 0")
     best = Window.partitionBy("src").orderBy(F.desc("matches"), "dst")
-    near = unique.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k)
+    near = sides.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k)
 
     # Nodes back to ids: its own copies, then those of its neighbours.
     candidates = near.join(nodes.select(F.col("id").alias("dst"), "ids"), "dst").select(
@@ -136,27 +108,27 @@ def knn_minhash(
     )
 
 
-def _score_block(pdf: pd.DataFrame, window: int, k: int) -> pd.DataFrame:
-    """The k best of each home row among the rows at most ``window`` places away."""
-    pdf = pdf.sort_values("rank", kind="stable")
-    ids = pdf["id"].to_numpy()
-    sig = np.stack(pdf["sig"].to_numpy())
-    n = len(ids)
-    matches = np.full((n, 2 * window), -1, dtype=np.int32)
-    place = np.arange(n)[:, None] + np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])
-    for step in range(1, min(window, n - 1) + 1):
-        same = (sig[step:] == sig[:-step]).sum(axis=1)
-        matches[:-step, window + step - 1] = same
-        matches[step:, window - step] = same
-    order_of = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    other = order_of[np.clip(place, 0, n - 1)]
-    best = np.lexsort((other, -matches), axis=1)[:, :k]
-    home = np.flatnonzero(pdf["home"].to_numpy())
-    src = np.repeat(home, best.shape[1])
-    col = best[home].reshape(-1)
-    score = matches[src, col]
-    keep = score > 0
-    return pd.DataFrame({"src": ids[src[keep]], "dst": ids[place[src[keep], col[keep]]], "matches": score[keep]})
+def _forest_pairs(rows: DataFrame, permutations: int, trees: int, most: int) -> DataFrame:
+    """Different pairs (a, b), a < b, of nodes that meet in a group or in a piece of one; neither has more than ``most`` nodes."""
+    starts = [permutations * t // trees for t in range(trees)]
+    entries = rows.select(
+        "id", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.get("sig", F.lit(p)).alias("head")) for t, p in enumerate(starts)])).alias("e")
+    ).select("id", "e.*")
+    sizes = entries.groupBy("tree", "head").agg(F.count("*").alias("size")).filter("size > 1")
+    grouped = stable(entries.join(sizes, ["tree", "head"]))
+    small = grouped.filter(F.col("size") <= most).select("tree", "head", F.lit(0).cast("bigint").alias("piece"), "id")
+    large = grouped.filter(F.col("size") > most)
+    met = small
+    if not large.isEmpty():
+        at = F.element_at(F.array(*[F.lit(p) for p in starts]), F.col("tree") + 1)
+        turned = F.concat(F.slice("sig", at + 1, F.lit(permutations)), F.slice("sig", F.lit(1), at))
+        keyed = large.join(rows, "id").select("tree", "head", "id", turned.alias("key"))
+        placed = ranked(keyed, ["key"], ["tree", "head"], "rank").select("tree", "head", "id", (F.col("rank") - 1).alias("at"))
+        pieces = F.array(2 * F.floor(F.col("at") / most) + 1, 2 * F.floor((F.col("at") + most // 2) / most) + 2)
+        met = small.unionByName(placed.select("tree", "head", F.explode(pieces).alias("piece"), "id"))
+    met = stable(met)
+    other = met.select("tree", "head", "piece", F.col("id").alias("b"))
+    return met.withColumnRenamed("id", "a").join(other, ["tree", "head", "piece"]).filter("a < b").select("a", "b").distinct()
 
 
 # ---------------------------------------------------------------- coordinates

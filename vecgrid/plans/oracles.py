@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from vecgrid.functions import features as X
 from vecgrid.functions import smiles
-from vecgrid.plans.queries import KC, NEIGHBOURS, PERMUTATIONS, TREES, WIDTH
+from vecgrid.plans.queries import NEIGHBOURS, PERMUTATIONS, WIDTH
 
 WORD = X.WORD
 PRIME = X.PRIME
@@ -118,33 +118,25 @@ FROM v a JOIN v b USING (vec_id) GROUP BY a.dim, b.dim"""
 CHUNKS = "(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 500"
 SQUARE = "o_totalprice * o_totalprice"
 
-DEPTH = PERMUTATIONS // TREES
 
-
-def window(kc: int) -> int:
-    """Places read on either side in each tree, for k * kc candidates or more in all."""
-    return max(NEIGHBOURS, -(-NEIGHBOURS * kc // (2 * TREES)))
+def knn_sql(source: str = DOC_WORDS) -> str:
+    """Neighbours by signatures among all pairs."""
+    return f"""WITH {signatures(PERMUTATIONS, 3, source)},
+        scored AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*)::BIGINT AS matches
+              FROM m a JOIN m b ON a.i = b.i AND a.v = b.v AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id)
+        SELECT src, dst, matches, round(1 - matches / {PERMUTATIONS}, 6) AS weight,
+        row_number() OVER (PARTITION BY src ORDER BY matches DESC, dst) AS rank FROM scored QUALIFY rank <= {NEIGHBOURS}"""
 
 
-def knn_sql(w: int) -> str:
-    """Neighbours of documents by signatures: ``w`` places either way in each tree."""
-    return f"""WITH {signatures(PERMUTATIONS, 3)},
-        nodes AS (SELECT s, min(doc_id) AS node FROM sig GROUP BY s),
-        o AS (SELECT t, node, s, row_number() OVER (PARTITION BY t ORDER BY list_concat(s[t * {DEPTH} + 1:{PERMUTATIONS}], s[1:t * {DEPTH}])) AS rk
-              FROM nodes, range({TREES}) r(t)),
-        near AS (SELECT DISTINCT a.s AS x, b.s AS y
-              FROM (SELECT *, unnest(range(-{w}, {w + 1})) AS step FROM o) a JOIN o b ON a.t = b.t AND b.rk = a.rk + a.step),
-        scored AS (SELECT a.doc_id AS src, b.doc_id AS dst,
-              len(list_filter(list_zip(x, y), lambda z: z[1] = z[2]))::BIGINT AS matches
-              FROM near JOIN sig a ON a.s = x JOIN sig b ON b.s = y WHERE a.doc_id <> b.doc_id)
-        SELECT src, dst, matches, round(1 - matches / {PERMUTATIONS}, 6) AS weight,
-        row_number() OVER (PARTITION BY src ORDER BY matches DESC, dst) AS rank FROM scored WHERE matches > 0
-        QUALIFY rank <= {NEIGHBOURS}"""
+NEAR_COPIES = f"""SELECT doc_id, regexp_extract_all(text, {quoted(WORD)}) AS t FROM (
+    SELECT doc_id, text FROM documents UNION ALL
+    SELECT doc_id + 1000000000, concat_ws(' ', (SELECT arg_min(text, doc_id) FROM documents), {", ".join(f"'x{n}y' || doc_id" for n in range(6))})
+    FROM documents WHERE doc_id % 2 = 0)"""
 
 
-def forest_sql(w: int) -> str:
+def forest_sql() -> str:
     """Kruskal: edges in order of (weight, src, dst), one step of the recursion each; the state is the list of component labels."""
-    graph = knn_sql(w).replace(f"round(1 - matches / {PERMUTATIONS}, 6)", f"1 - matches / {PERMUTATIONS}")
+    graph = knn_sql().replace(f"round(1 - matches / {PERMUTATIONS}, 6)", f"1 - matches / {PERMUTATIONS}")
     return f"""WITH RECURSIVE knn AS ({graph}),
         e AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, min(weight) AS w FROM knn GROUP BY 1, 2),
         n AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM (SELECT u AS x FROM e UNION SELECT v FROM e)),
@@ -157,11 +149,11 @@ def forest_sql(w: int) -> str:
         SELECT u AS src, v AS dst, w AS weight FROM step JOIN r USING (i) WHERE taken"""
 
 
-KNN_DOCS = knn_sql(window(KC))
+KNN_DOCS = knn_sql()
 
 ORACLES: dict[str, str] = {
-    "spanning_forest_docs": forest_sql(window(KC)),
-    "map_edges": forest_sql(window(10)),
+    "spanning_forest_docs": forest_sql(),
+    "map_edges": forest_sql(),
     "pca_uncorrelated": "SELECT t AS test, true AS ok FROM range(8) r(t)",
     "kll_profile_bounds": "SELECT p AS percentile, true AS within FROM range(0, 100, 2) r(p)",
     "scan_csv": "SELECT p_name AS smiles FROM part",
@@ -273,6 +265,7 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY d, c_custkey) = 1""",
     "knn_docs": KNN_DOCS,
     "knn_duplicates": KNN_DOCS,
+    "knn_near_copies": f"SELECT src, dst, matches, rank FROM ({knn_sql(NEAR_COPIES)})",
     "knn_coords": """WITH d AS (SELECT a.c_custkey AS src, b.c_custkey AS dst,
           (a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal)
           + (a.c_nationkey - b.c_nationkey) * (a.c_nationkey - b.c_nationkey) AS d2

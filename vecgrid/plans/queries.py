@@ -31,7 +31,7 @@ GRID_SIZES = [n for _, n in GRID]
 GRID_IDS = ["cluster_id_1", "cluster_id_2", "cluster_id_3"]
 GRID_KEYS = ["l_orderkey", "l_linenumber"]
 WIDTH = 64  # of the embeddings
-PERMUTATIONS, TREES, NEIGHBOURS, KC = 32, 4, 5, 4
+PERMUTATIONS, NEIGHBOURS, KC = 32, 5, 100
 TASKS = 16  # for tables of one small file
 
 
@@ -602,7 +602,7 @@ def _signed_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def knn_docs(spark, sf):
-    graph = N.knn_minhash(_signed_docs(spark, sf), "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, TREES, KC)
+    graph = N.knn_minhash(_signed_docs(spark, sf), "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, kc=KC)
     return graph.select(
         "src", "dst", F.col("matches").cast("bigint").alias("matches"), rounded("weight", 6).alias("weight"),
         F.col("rank").cast("bigint").alias("rank"),
@@ -613,13 +613,26 @@ def knn_docs(spark, sf):
 def knn_duplicates(spark, sf):
     """Rows that repeat an id change nothing."""
     signed = _signed_docs(spark, sf)
-    graph = N.knn_minhash(signed.unionByName(signed), "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, TREES, KC)
+    graph = N.knn_minhash(signed.unionByName(signed), "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, kc=KC)
     return graph.select(
         "src", "dst", F.col("matches").cast("bigint").alias("matches"), rounded("weight", 6).alias("weight"),
         F.col("rank").cast("bigint").alias("rank"),
     )
 
 
+@query
+def knn_near_copies(spark, sf):
+    """A third of the rows are near copies of one text, more than any group or list of neighbours holds."""
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    template = rows.agg(F.min_by("text", "doc_id").alias("template"))
+    own = F.concat_ws(" ", *[F.concat(F.lit(f"x{n}y"), F.col("doc_id")) for n in range(6)])
+    copies = rows.filter("doc_id % 2 = 0").join(F.broadcast(template), F.lit(True))  # one row
+    copies = copies.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.concat_ws(" ", "template", own).alias("text"))
+    signed = X.minhash(spread(rows.unionByName(copies), TASKS), "text", "sig", PERMUTATIONS, tokenizer="words").drop("text")
+    graph = N.knn_minhash(signed, "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, kc=KC)
+    return graph.select("src", "dst", F.col("matches").cast("bigint").alias("matches"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def knn_coords(spark, sf):
     graph = N.knn_coords(table(spark, sf, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"], 5)
@@ -628,7 +641,7 @@ def knn_coords(spark, sf):
 
 @query
 def spanning_forest_docs(spark, sf):
-    return spanning_forest(N.knn_minhash(_signed_docs(spark, sf), "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, TREES, KC))
+    return spanning_forest(N.knn_minhash(_signed_docs(spark, sf), "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, kc=KC))
 
 
 @query
@@ -657,7 +670,7 @@ def map_nodes(spark, sf):
 @query
 def map_edges(spark, sf):
     rows = docs(spark, sf)
-    return M.map_edges(rows, "doc_id", "text", k=NEIGHBOURS, permutations=PERMUTATIONS, trees=TREES, tokenizer="words")
+    return M.map_edges(rows, "doc_id", "text", k=NEIGHBOURS, permutations=PERMUTATIONS, kc=KC, tokenizer="words")
 
 
 # ------------------------------------------------------------------ sinks
