@@ -57,6 +57,19 @@ def test_index_persists_over_batches(spark):
     assert plan.count("Exchange hashpartitioning") == 1  # the index is read in its buckets
 
 
+def test_index_is_found_by_a_second_session(spark):
+    """A catalog that has lost the table, as that of a new session with the same warehouse, registers the folder again."""
+    name = D.new_index_name()
+    one = spark.createDataFrame([(10, "a  b"), (11, "c")], "doc_id long, text string")
+    D.dedup_batch(one, name, buckets=3).collect()
+    spark.sql(f"DROP TABLE {name}")
+    assert not spark.catalog.tableExists(name) and D.stored_index(spark, name)[1] == 3
+    two = spark.createDataFrame([(1, "a b"), (2, "d")], "doc_id long, text string")
+    assert {tuple(r) for r in D.dedup_batch(two, name).select("doc_id", "keep_id").collect()} == {(1, 10), (2, 2)}
+    assert spark.read.table(name).count() == 3
+    assert D.drop_index(spark, name) and D.stored_index(spark, name) is None and not D.drop_index(spark, name)
+
+
 def test_keep_first(spark):
     kept = D.keep_first(odd_docs(spark), D.new_index_name())
     assert kept.columns == odd_docs(spark).columns

@@ -1,7 +1,7 @@
 """Exact dedup against a persistent digest index.
 
-The index is a catalog table with one row per digest, bucketed and sorted by the
-digest. A batch is first reduced to one row per digest (partial aggregation, so a text
+The index is a table in the warehouse with one row per digest, bucketed and sorted by the
+digest; later sessions find it there. A batch is first reduced to one row per digest (partial aggregation, so a text
 that makes up a third of the batch is one row per task), laid out in the same
 buckets, and a sort-merge anti-join without any shuffle of the index finds the
 digests that are new; those are appended, each task to one bucket.
@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecgrid.llm.common import SPACE, sized, stored, text_of
 
-BUCKETS = 64
+BUCKETS, BUCKET_ROWS = 64, 2_000_000  # least number of buckets of a new index, digests of its first batch in a bucket at most
 #: Columns of the index.
 DIGEST, KEEP = "digest", "keep_id"
 
@@ -30,27 +30,59 @@ def new_index_name(label: str = "digest_index") -> str:
     return f"{label}_{uuid.uuid4().hex}"
 
 
-def ensure_index(firsts: DataFrame, index: str, buckets: int = BUCKETS) -> None:
-    """Make the table ``index`` with the columns of ``firsts``, empty, if it does not exist."""
-    if not firsts.sparkSession.catalog.tableExists(index):
-        _append(firsts.select(DIGEST, KEEP).limit(0), index, buckets)
+def stored_index(spark: SparkSession, index: str) -> tuple[str, int] | None:
+    """(folder, buckets) of an index that this or an earlier session has written to the warehouse."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{_warehouse(spark)}/{index}.buckets-*")
+    found = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hpath)
+    folders = [str(f.getPath()) for f in found or []]
+    return (folders[0], int(folders[0].rsplit("-", 1)[1])) if folders else None
 
 
-def append_new(firsts: DataFrame, index: str, buckets: int = BUCKETS) -> None:
+def _warehouse(spark: SparkSession) -> str:
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+def ensure_index(firsts: DataFrame, index: str, buckets: int | None = None) -> int:
+    """Make the table ``index`` with the columns of ``firsts``, empty, if there is none; returns its number of buckets.
+
+    The folder's name holds the number of buckets, so a session whose catalog does not know the table registers it again. A new
+    index has ``buckets``, or as many as the size of ``firsts`` asks for.
+    """
+    spark = firsts.sparkSession
+    place = stored_index(spark, index)
+    if place is None:
+        buckets = buckets or max(BUCKETS, -(-firsts.count() // BUCKET_ROWS))
+        place = f"{_warehouse(spark)}/{index}.buckets-{buckets}", buckets
+    if not spark.catalog.tableExists(index):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in firsts.select(DIGEST, KEEP).schema)
+        spark.sql(
+            f"CREATE TABLE `{index}` ({columns}) USING parquet CLUSTERED BY ({DIGEST}) SORTED BY ({DIGEST}) INTO {place[1]} BUCKETS LOCATION '{place[0]}'"
+        )
+    return place[1]
+
+
+def drop_index(spark: SparkSession, index: str) -> bool:
+    """Take an index out of the catalog and delete its folder; whether there was one."""
+    place = stored_index(spark, index)
+    spark.sql(f"DROP TABLE IF EXISTS `{index}`")
+    if place:
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(place[0])
+        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+    return place is not None
+
+
+def append_new(firsts: DataFrame, index: str, buckets: int | None = None) -> None:
     """Append to table ``index`` the rows of ``firsts`` (digest, keep_id; one row per digest) whose digest it lacks."""
-    ensure_index(firsts, index, buckets)
+    buckets = ensure_index(firsts, index, buckets)
     known = firsts.sparkSession.read.table(index).select(DIGEST)
     # One task per bucket on both sides; the merge hint keeps the planner from broadcasting the index.
     laid_out = firsts.select(DIGEST, KEEP).repartition(buckets, DIGEST)
-    _append(laid_out.join(known.hint("merge"), DIGEST, "left_anti").sortWithinPartitions(DIGEST), index, buckets)
-
-
-def _append(rows: DataFrame, index: str, buckets: int) -> None:
-    rows.write.mode("append").format("parquet").bucketBy(buckets, DIGEST).sortBy(DIGEST).saveAsTable(index)
+    fresh = laid_out.join(known.hint("merge"), DIGEST, "left_anti").sortWithinPartitions(DIGEST)
+    fresh.write.mode("append").format("parquet").bucketBy(buckets, DIGEST).sortBy(DIGEST).saveAsTable(index)
 
 
 def dedup_batch(
-    docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS
+    docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None
 ) -> DataFrame:
     """Deduplicate one batch against the index and add its new digests to it.
 
