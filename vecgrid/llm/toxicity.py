@@ -23,7 +23,7 @@ from vecgrid.llm.common import Memo, per_text, ragged_take, slices, text_of, wor
 FEATURES = 1 << 18  # hash places of features while a model is fitted
 SENTENCE_WORDS = 40  # a longer run without an end of sentence is cut after so many tokens
 START_BIAS = -9.0
-MAX_TRAIN_DOCS = 10_000  # bound of the labelled sample that a model is fitted on
+MAX_TRAIN_DOCS = 5_000  # bound of the labelled sample that a model is fitted on
 MAX_TRAIN_CHARS = 60_000  # longer texts are not drawn into that sample; all are scored
 _WORD = re.compile(r"\w+")
 
@@ -79,8 +79,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
         F.col(order_col).alias("o"), F.col(label_col).cast("double").alias("y"), text_of(text_col).alias("t")
     )
-    rows = rows.toArrow().sort_by([("o", "ascending"), ("y", "ascending"), ("t", "ascending")]).combine_chunks()
-    return fit_texts(rows["t"].combine_chunks(), rows["y"].to_pylist())
+    rows = rows.toArrow().sort_by([("o", "ascending"), ("y", "ascending"), ("t", "ascending")])
+    texts, labels = rows["t"].combine_chunks(), rows["y"].to_pylist()
+    del rows  # the texts are held once
+    return fit_texts(texts, labels)
 
 
 def fit_texts(
