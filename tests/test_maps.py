@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vecgrid.functions.features import minhash
 from vecgrid.operators import maps as M
 from vecgrid.operators import neighbours as N
+from vecgrid.operators import pivots as P
 from vecgrid.operators.forest import spanning_forest
 from vecgrid.plans import jobs
 
@@ -82,6 +83,63 @@ def test_knn_coords_string_ids_and_few_rows(spark):
     assert got == {(a, b) for a in "xyz" for b in "xyz" if a != b}
 
 
+@pytest.mark.parametrize("offset,scale", [(0.0, 1.0), (1e7, 1e-3), (-5.0, 1e6)])
+def test_knn_coords_with_clusters_of_all_sizes(spark, offset, scale):
+    rng = np.random.default_rng(11)
+    parts = [rng.normal(c, w, (n, 2)) for c, w, n in ((0, 1e-4, 200), (3, 1.0, 150), (40, 20.0, 50), (3, 1e-2, 100))]
+    at = np.concatenate([*parts, [[900.0, -700.0]]]) * scale + offset
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(at)], "id long, a double, b double")
+    got = {(r.src, r.dst, r["rank"]) for r in N.knn_coords(df, "id", ["a", "b"], 4, 32).collect()}
+    assert got == {(i, j, r) for i, j, _, r in brute_knn(range(len(at)), at, 4)}
+
+
+def wide(spark, ids, at, extra=()):
+    return spark.createDataFrame([*((i, [float(v) for v in p]) for i, p in zip(ids, at, strict=True)), *extra], "id long, v array<double>")
+
+
+@pytest.mark.parametrize("k,pivots,ring_rows", [(3, 1, 16), (5, 8, 24), (4, 64, 10_000)])
+def test_knn_vectors_is_exact_with_copies_and_ties(spark, k, pivots, ring_rows):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 5, (6, 20))
+    at = centres[rng.integers(0, 6, 420)] + rng.integers(-2, 3, (420, 20))
+    at[:140] = at[0]  # a third of the rows in one place
+    at[140:200] = at[140] + 0.25 * np.eye(20)[rng.integers(0, 20, 60)]  # many copies and equal distances
+    at[419] = 300.0
+    ids = [int(i) for i in rng.permutation(420)]
+    bad = [(1000, None), (1001, [float("nan")] * 20), (1002, [float("inf")] * 20), (1003, [None] * 20)]
+    df = wide(spark, ids, at, bad)
+    got = {(r.src, r.dst, round(r.weight, 9), r["rank"]) for r in P.knn_vectors(df, "id", "v", k, pivots, ring_rows).collect()}
+    assert got == brute_knn(ids, at, k)
+
+
+def test_knn_vectors_far_from_the_origin_and_small_tables(spark):
+    rng = np.random.default_rng(8)
+    at = rng.normal(0, 1e-2, (120, 8)) + 1e6
+    got = {(r.src, r.dst, r["rank"]) for r in P.knn_vectors(wide(spark, range(120), at), "id", "v", 3, 4, 16).collect()}
+    assert got == {(i, j, r) for i, j, _, r in brute_knn(range(120), at, 3)}
+    few = wide(spark, range(3), [[0.0, 1.0], [2.0, 0.0], [9.0, 9.0]])
+    assert {(r.src, r.dst) for r in P.knn_vectors(few, "id", "v", 5).collect()} == {(a, b) for a in range(3) for b in range(3) if a != b}
+    assert P.knn_vectors(few.limit(0), "id", "v", 5).count() == 0
+    assert N.knn_coords(spark.createDataFrame([], "id long, a double"), "id", ["a"], 5).count() == 0
+    with pytest.raises(ValueError, match="width"):
+        P.knn_vectors(wide(spark, range(2), [[0.0], [1.0, 2.0]]), "id", "v")
+
+
+def test_knn_vectors_visits_few_rings_of_clustered_vectors(spark):
+    """200 well-parted groups: with a pivot for each, a point meets a small part of all rings."""
+    rng = np.random.default_rng(9)
+    at = np.repeat(rng.normal(0, 10, (50, 32)), 40, axis=0) + rng.normal(0, 0.1, (2000, 32))
+    seen = []
+    whole = P.visit
+    try:
+        P.visit = lambda visits, *rest: (seen.append(visits.count()), whole(visits, *rest))[1]
+        got = {(r.src, r.dst, r["rank"]) for r in P.knn_vectors(wide(spark, range(2000), at), "id", "v", 3, 50, 40).collect()}
+    finally:
+        P.visit = whole
+    assert got == {(i, j, r) for i, j, _, r in brute_knn(range(2000), at, 3)}
+    assert seen[0] <= 2 * 2000  # of about 50 x 2000
+
+
 def brute_minhash(sigs, k):
     out = set()
     for i, x in sigs.items():

@@ -7,26 +7,23 @@ of the data is many pieces, not one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
-from math import ceil
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecgrid.functions.columns import apply_kernel
 from vecgrid.operators.grid import valid
 from vecgrid.operators.ranking import ranked
 from vecgrid.operators.skew import lookup_join
 from vecgrid.session import stable
 
 MAX_TREES = 64  # trees of a prefix forest unless told otherwise
-POINT_ROWS = 512  # points per block, unless that makes too many blocks
-MAX_BLOCKS = 20_000  # bounding boxes shipped to every task: 1 MB at three coordinates
+POINT_ROWS = 512  # points per block
 CHUNK = 1 << 21  # distances a task holds at a time
 
 
@@ -142,10 +139,11 @@ def knn_coords(
     1. Rows at the same place become one point with its k + 1 smallest ids.
     2. Points are cut into blocks of equal size, one coordinate after the other.
     3. The k-th distance within its own block bounds each point's search; it then
-       visits just the blocks whose bounding box comes that close.
+       visits just the blocks whose bounding box comes that close (see ``_reached_boxes``).
     4. The best of all visits are merged and spelled out for every row.
 
-    ``id_col`` must be unique. Rows lacking a coordinate are left out.
+    ``id_col`` must be unique. Rows lacking a coordinate are left out. For more than a few coordinates boxes touch
+    nearly everything: use ``pivots.knn_vectors`` there.
     """
     coords = list(coords)
     x = [f"x{i}" for i in range(len(coords))]
@@ -154,53 +152,64 @@ def knn_coords(
         F.col(id_col).alias("id"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(n) for c, n in zip(coords, x, strict=True)]
     )
     id_type = rows.schema["id"].dataType
+    points = distinct_points(rows, x, k)
+    total = points.count()
+    block_rows = max(block_rows, 4 * (k + 1))
+    blocks = _equal_blocks(points.select("pid", *x), x, total, block_rows)
+
+    radius_schema = T.StructType(
+        [T.StructField("pid", id_type), *[T.StructField(n, T.DoubleType()) for n in x], T.StructField("block", T.LongType()), T.StructField("r2", T.DoubleType())]
+    )
+    searched = stable(blocks.groupBy("block").applyInPandas(lambda p: _own_radius(p, x, k), radius_schema))
+    visits = stable(_reached_boxes(searched, x))
+    near = visit(visits, searched.select("pid", *x, "block"), x, ["block"], k, block_rows, id_type, _nearest)
+    return rows_of_points(rows, points, near, x, k)
 
+
+def distinct_points(rows: DataFrame, x: list[str], k: int) -> DataFrame:
+    """One row per place: its coordinates, its k + 1 smallest ids, the smallest of them as ``pid``."""
     # A filter on row_number lets Spark prune to k + 1 rows per group before the shuffle.
     first = Window.partitionBy(*x).orderBy("id")
-    points = stable(
+    return stable(
         rows.withColumn("_n", F.row_number().over(first))
         .filter(F.col("_n") <= k + 1)
         .groupBy(*x)
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
         .withColumn("pid", F.get("ids", F.lit(0)))
     )
-    total = points.count()
-    block_rows = max(block_rows, ceil(total / MAX_BLOCKS), 4 * (k + 1))
-    blocks = _equal_blocks(points.select("pid", *x), x, total, block_rows)
 
-    radius_schema = T.StructType(
-        [T.StructField("pid", id_type), *[T.StructField(n, T.DoubleType()) for n in x], T.StructField("block", T.LongType()), T.StructField("r2", T.DoubleType())]
-    )
-    searched = stable(blocks.groupBy("block").applyInPandas(lambda p: _own_radius(p, x, k), radius_schema))
 
-    boxes = searched.groupBy("block").agg(*[F.min(n).alias(f"lo_{n}") for n in x], *[F.max(n).alias(f"hi_{n}") for n in x])
-    box = boxes.toPandas()  # one row per block, at most about MAX_BLOCKS
-    numbers, lo, hi = box["block"].to_numpy(), box[[f"lo_{n}" for n in x]].to_numpy(), box[[f"hi_{n}" for n in x]].to_numpy()
-
-    visits_field = T.StructField("visits", T.ArrayType(T.LongType()))
-    visits = stable(
-        apply_kernel(
-            searched.drop("block"), F.array(*x, "r2"), [visits_field], lambda: lambda a: [_reached(a, numbers, lo, hi)]
-        ).select("pid", *x, F.explode("visits").alias("block"))
-    )
+def visit(
+    visits: DataFrame,
+    held: DataFrame,
+    x: list[str],
+    keys: list[str],
+    k: int,
+    block_rows: int,
+    id_type: T.DataType,
+    nearest: Callable[[pd.DataFrame, pd.DataFrame, list[str], int], pd.DataFrame],
+) -> DataFrame:
+    """(src, dst, d2): the k nearest points that each asking point finds in the blocks (``keys``) it visits."""
     # A much-visited block is searched by several tasks, each with a copy of its points.
-    load = visits.groupBy("block").agg(F.ceil(F.count("*") / (4 * block_rows)).alias("parts"))
-    load = F.broadcast(stable(load))  # one row per block
-    asking = visits.join(load, "block").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")))
-    held = searched.join(load, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    load = stable(visits.groupBy(*keys).agg(F.ceil(F.count("*") / (4 * block_rows)).alias("parts")))
+    asking = visits.join(load, keys).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")))
+    copies = held.join(load, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair_schema = T.StructType(
         [T.StructField("src", id_type), T.StructField("dst", id_type), T.StructField("d2", T.DoubleType())]
     )
+    columns = [F.col(c).alias(c) for c in ("pid", *x, *keys, "part")]  # both sides come from one table: new columns tell them apart
     pairs = (
-        asking.select("pid", *x, "block", "part")
-        .groupBy("block", "part")
-        .cogroup(held.select("pid", *x, "block", "part").groupBy("block", "part"))
-        .applyInPandas(lambda a, h: _nearest(a, h, x, k), pair_schema)
+        asking.select(*columns)
+        .groupBy(*keys, "part")
+        .cogroup(copies.select(*columns).groupBy(*keys, "part"))
+        .applyInPandas(lambda a, h: nearest(a, h, x, k), pair_schema)
     )
     best = Window.partitionBy("src").orderBy("d2", "dst")
-    near = pairs.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+    return pairs.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+
 
-    # Points back to ids: its own copies at distance 0, then those of its neighbours.
+def rows_of_points(rows: DataFrame, points: DataFrame, near: DataFrame, x: list[str], k: int) -> DataFrame:
+    """Points back to ids: its own copies at distance 0, then those of its neighbours."""
     candidates = near.join(points.select(F.col("pid").alias("dst"), "ids"), "dst").select(
         F.col("src").alias("pid"), "d2", F.explode("ids").alias("id")
     )
@@ -221,6 +230,56 @@ def knn_coords(
     )
 
 
+def _reached_boxes(searched: DataFrame, x: list[str]) -> DataFrame:
+    """(pid, coordinates, block): the blocks whose bounding box is within the k-th distance of each point.
+
+    Boxes and the surroundings of points meet in cells. A box has the finest level whose cells are as wide as it is, so
+    it touches at most two of them per coordinate; so has the box around those points of a block that reach about equally
+    far. Two boxes that overlap share a cell of the coarser of their levels: an equi-join, and nobody holds all boxes.
+    """
+    extent = searched.agg(*[F.min(n).alias(f"lo_{n}") for n in x], *[F.max(n).alias(f"hi_{n}") for n in x]).first()
+    if extent[0] is None:
+        return searched.select("pid", *x, "block").limit(0)
+    extent = extent.asDict()
+    span = max(max(extent[f"hi_{n}"] - extent[f"lo_{n}"] for n in x), np.finfo(float).tiny * 2.0**60)
+    largest = max(*[abs(v) for v in extent.values()], span)
+    finest = min(1000, 50 - ceil(log2(largest)))  # cell numbers stay exact
+
+    def level(size: Column) -> Column:
+        return F.least(F.floor(-F.log2(F.greatest(size, F.lit(span * 2.0**-60)))), F.lit(finest)).cast("int")
+
+    reach = F.least(F.sqrt("r2") * (1 + 1e-9), F.lit(span))
+    asking = searched.withColumn("reach", reach).withColumn("far", level(2 * F.col("reach")))
+    low = [(F.min(n) - F.max("reach")).alias(f"lo_{n}") for n in x]
+    high = [(F.max(n) + F.max("reach")).alias(f"hi_{n}") for n in x]
+    asks = asking.groupBy("block", "far").agg(*low, *high).withColumnRenamed("block", "home")
+    boxes = searched.groupBy("block").agg(*[F.min(n).alias(f"lo_{n}") for n in x], *[F.max(n).alias(f"hi_{n}") for n in x])
+    size = F.greatest(*[F.col(f"hi_{n}") - F.col(f"lo_{n}") for n in x], F.lit(0.0))
+    asks, boxes = (stable(t.withColumn("level", level(size))) for t in (asks, boxes))
+    of_asks, of_boxes = ({r.level for r in t.select("level").distinct().collect()} for t in (asks, boxes))  # some dozens of numbers
+
+    def entries(table: DataFrame, own: int, other: int, levels: set[int], strict: bool, prefix: str) -> DataFrame:
+        """A row per cell and level: at its own level for finer partners, at the partners' levels for coarser ones."""
+        at = [F.when(F.lit(n) < F.col("level") if strict else F.lit(n) <= F.col("level"), F.struct(F.lit(n).alias("at"), F.lit(other).alias("side"))) for n in sorted(levels)]
+        native = F.struct(F.col("level").alias("at"), F.lit(own).alias("side"))
+        out = table.withColumn("e", F.explode(F.filter(F.array(native, *at), lambda e: e.isNotNull()))).select(*table.columns, "e.*")
+        scale = F.pow(F.lit(2.0), F.col("at"))
+        for n in x:
+            first, last = F.floor(F.col(f"lo_{n}") * scale), F.floor(F.col(f"hi_{n}") * scale)
+            out = out.withColumn(f"{prefix}_{n}", first).withColumn(f"cell_{n}", F.explode(F.sequence(first, last)))
+        return out.drop("level")
+
+    asked = entries(asks, 0, 1, of_boxes, False, "ask").drop(*[f"lo_{n}" for n in x], *[f"hi_{n}" for n in x])
+    held = entries(boxes, 1, 0, of_asks, True, "box")
+    once = reduce(lambda a, b: a & b, [F.col(f"cell_{n}") == F.greatest(f"ask_{n}", f"box_{n}") for n in x])  # of all shared cells the first
+    bounds = [f"{side}_{n}" for side in ("lo", "hi") for n in x]
+    met = asked.join(held, ["at", "side", *[f"cell_{n}" for n in x]]).filter(once).select("home", "far", "block", *bounds)
+    outside = [F.greatest(F.col(f"lo_{n}") - F.col(n), F.col(n) - F.col(f"hi_{n}"), F.lit(0.0)) for n in x]
+    away = reduce(lambda a, b: a + b, [o * o for o in outside])
+    points = asking.select("pid", *x, "r2", "far", F.col("block").alias("home"))
+    return points.join(met, ["home", "far"]).filter(away <= F.col("r2")).select("pid", *x, "block")
+
+
 def _equal_blocks(points: DataFrame, x: list[str], total: int, block_rows: int) -> DataFrame:
     """Number the points by blocks of about ``block_rows``: equal slabs of the first
     coordinate, each cut into equal slabs of the second, and so on until they are small enough."""
@@ -257,22 +316,6 @@ def _own_radius(pdf: pd.DataFrame, x: list[str], k: int) -> pd.DataFrame:
     return pdf[["pid", *x, "block"]].assign(r2=r2)
 
 
-def _reached(asked: pa.Array, numbers: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
-    """For each (coordinates..., r2): the blocks whose box is within reach."""
-    width = lo.shape[1]
-    rows = asked.flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 1)
-    out: list[np.ndarray] = []
-    step = max(1, CHUNK // max(1, len(numbers)))
-    for i in range(0, len(rows), step):
-        part = rows[i : i + step]
-        d2 = np.zeros((len(part), len(numbers)))
-        for j in range(width):
-            p = part[:, j, None]
-            d2 += np.maximum(np.maximum(lo[None, :, j] - p, p - hi[None, :, j]), 0.0) ** 2
-        out.extend(numbers[hit] for hit in d2 <= part[:, width, None])
-    return pa.array(out, pa.list_(pa.int64()))
-
-
 def _nearest(asking: pd.DataFrame, held: pd.DataFrame, x: list[str], k: int) -> pd.DataFrame:
     """The k nearest held points of each asking point (ties: smaller id), not itself."""
     held = held.sort_values("pid", kind="stable")

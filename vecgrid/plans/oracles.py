@@ -134,9 +134,26 @@ NEAR_COPIES = f"""SELECT doc_id, regexp_extract_all(text, {quoted(WORD)}) AS t F
     FROM documents WHERE doc_id % 2 = 0)"""
 
 
-def forest_sql() -> str:
+def coords_sql(*coords: str) -> str:
+    """The five nearest other customers among all pairs, weights unrounded."""
+    a, b = ([c.replace("c_", f"{t}.c_") + "::DOUBLE" for c in coords] for t in "ab")
+    d2 = " + ".join(f"({p} - {q}) * ({p} - {q})" for p, q in zip(a, b, strict=True))
+    return f"""SELECT src, dst, sqrt(d2) AS weight, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank
+        FROM (SELECT a.c_custkey AS src, b.c_custkey AS dst, {d2} AS d2 FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey)
+        QUALIFY rank <= 5"""
+
+
+VECTOR_KNN = """SELECT src, dst, round(weight, 4) AS weight, row_number() OVER (PARTITION BY src ORDER BY weight, dst) AS rank
+    FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS weight
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) QUALIFY rank <= 5"""
+
+
+def docs_graph() -> str:
+    return knn_sql().replace(f"round(1 - matches / {PERMUTATIONS}, 6)", f"1 - matches / {PERMUTATIONS}")
+
+
+def forest_sql(graph: str) -> str:
     """Kruskal: edges in order of (weight, src, dst), one step of the recursion each; the state is the list of component labels."""
-    graph = knn_sql().replace(f"round(1 - matches / {PERMUTATIONS}, 6)", f"1 - matches / {PERMUTATIONS}")
     return f"""WITH RECURSIVE knn AS ({graph}),
         e AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, min(weight) AS w FROM knn GROUP BY 1, 2),
         n AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM (SELECT u AS x FROM e UNION SELECT v FROM e)),
@@ -152,8 +169,8 @@ def forest_sql() -> str:
 KNN_DOCS = knn_sql()
 
 ORACLES: dict[str, str] = {
-    "spanning_forest_docs": forest_sql(),
-    "map_edges": forest_sql(),
+    "spanning_forest_docs": forest_sql(docs_graph()),
+    "map_edges": forest_sql(docs_graph()),
     "pca_uncorrelated": "SELECT t AS test, true AS ok FROM range(8) r(t)",
     "kll_profile_bounds": "SELECT p AS percentile, true AS within FROM range(0, 100, 2) r(p)",
     "scan_csv": "SELECT p_name AS smiles FROM part",
@@ -266,12 +283,10 @@ ORACLES: dict[str, str] = {
     "knn_docs": KNN_DOCS,
     "knn_duplicates": KNN_DOCS,
     "knn_near_copies": f"SELECT src, dst, matches, rank FROM ({knn_sql(NEAR_COPIES)})",
-    "knn_coords": """WITH d AS (SELECT a.c_custkey AS src, b.c_custkey AS dst,
-          (a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal)
-          + (a.c_nationkey - b.c_nationkey) * (a.c_nationkey - b.c_nationkey) AS d2
-          FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey)
-        SELECT src, dst, round(sqrt(d2), 5) AS weight, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank
-        FROM d QUALIFY rank <= 5""",
+    "knn_coords": f"SELECT src, dst, round(weight, 5) AS weight, rank FROM ({coords_sql('c_acctbal', 'c_nationkey')})",
+    "knn_cells": f"SELECT src, dst, round(weight, 5) AS weight, rank FROM ({coords_sql('c_acctbal', 'c_nationkey', '(c_custkey % 97)')})",
+    "knn_vectors": VECTOR_KNN,
+    "map_by_coords": forest_sql(coords_sql("c_acctbal", "c_nationkey")),
     "node_labels": """WITH n AS (SELECT p_partkey, p_name, p_brand || '__' || CASE WHEN p_size > 5 THEN p_size::VARCHAR ELSE 'Unknown' END AS l FROM part)
         SELECT p_partkey, p_name || '__' || l AS label,
         p_name || '__<a href="/generate/' || l || '" target="_blank">' || l || '</a>' AS linked FROM n""",

@@ -13,6 +13,7 @@ from vecgrid.functions.smiles import string_descriptors
 from vecgrid.operators import grid as G
 from vecgrid.operators import maps as M
 from vecgrid.operators import neighbours as N
+from vecgrid.operators import pivots as P
 from vecgrid.operators import quality, sketches, stats
 from vecgrid.operators import reduce as R
 from vecgrid.operators.forest import spanning_forest
@@ -639,6 +640,21 @@ def knn_coords(spark, sf):
     return graph.select("src", "dst", rounded("weight", 5).alias("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def knn_cells(spark, sf):
+    """Three coordinates of unlike spread, with ties and a coarse third one."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey", (F.col("c_custkey") % 97).alias("c_part"))
+    graph = N.knn_coords(rows, "c_custkey", ["c_acctbal", "c_nationkey", "c_part"], NEIGHBOURS, 128)
+    return graph.select("src", "dst", rounded("weight", 5).alias("weight"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def knn_vectors(spark, sf):
+    """Neighbours by all columns of the embeddings, exactly."""
+    graph = P.knn_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", NEIGHBOURS)
+    return graph.select("src", "dst", rounded("weight", 4).alias("weight"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def spanning_forest_docs(spark, sf):
     return spanning_forest(N.knn_minhash(_signed_docs(spark, sf), "doc_id", "sig", PERMUTATIONS, NEIGHBOURS, kc=KC))
@@ -673,6 +689,13 @@ def map_edges(spark, sf):
     return M.map_edges(rows, "doc_id", "text", k=NEIGHBOURS, permutations=PERMUTATIONS, kc=KC, tokenizer="words")
 
 
+@query
+def map_by_coords(spark, sf):
+    """Edges of a map whose neighbours come from coordinates."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    return M.map_edges(rows, "c_custkey", "c_mktsegment", ["c_acctbal", "c_nationkey"], NEIGHBOURS)
+
+
 # ------------------------------------------------------------------ sinks
 
 
