@@ -67,6 +67,62 @@ def test_bad_inputs(spark, tmp_path):
         R.expand_inputs(spark, 7)
 
 
+def test_file_ledger(spark, tmp_path):
+    spark.range(50_000).selectExpr("id", "uuid() AS u").coalesce(1).write.parquet(str(tmp_path / "w"))
+    whole = next((tmp_path / "w").glob("*.parquet")).read_bytes()
+    spark.range(0).selectExpr("id", "'' AS u").coalesce(1).write.parquet(str(tmp_path / "e"))
+    d = tmp_path / "d"
+    d.mkdir()
+    middle = len(whole) // 2
+    given = {
+        "whole": whole,
+        "empty": next((tmp_path / "e").glob("*.parquet")).read_bytes(),
+        "cut": whole[:middle],
+        "torn": whole[:middle] + bytes(20_000) + whole[middle + 20_000 :],
+        "text": b"not parquet at all",
+        "nothing": b"",
+    }
+    for name, content in given.items():
+        (d / f"{name}.parquet").write_bytes(content)
+    files = [str(p) for p in d.iterdir()]
+    for schema in (None, "id bigint, u string"):
+        rows = {r._source.rsplit("/", 1)[1][:-8]: r for r in R.file_ledger(spark, files, schema).collect()}
+        want = {"whole": "intact", "empty": "empty", "cut": "unreadable", "torn": "damaged", "text": "unreadable", "nothing": "unreadable"}
+        assert {k: r.status for k, r in rows.items()} == want
+        assert {k for k, r in rows.items() if r.reason} == {"cut", "torn", "text", "nothing"}
+        assert rows["whole"].n_rows == rows["whole"].n_decoded == rows["torn"].n_rows == 50_000 > rows["torn"].n_decoded
+        assert all(r.bytes == len(given[k]) and (r.modified or not r.bytes) for k, r in rows.items())
+    lost = R.lost_files(spark, files, R.read_parquet_lenient(spark, files, "skip"))
+    assert {r._source.rsplit("/", 1)[1] for r in lost.collect()} == {f"{k}.parquet" for k in ("cut", "torn", "text", "nothing")}
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.parquet").write_bytes(b"")
+    assert [r.reason for r in R.file_ledger(spark, str(tmp_path / "n"), "id bigint").collect()] == ["no bytes"]
+
+
+@pytest.mark.parametrize("split", ["700", "128m"])
+def test_chunks_by_splits(spark, tmp_path, split):
+    for name, n in (("a", 1000), ("b", 1), ("c", 300)):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{name}{k}\n" for k in range(n)))
+    conf = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "10" if split == "700" else "4m"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        lines = R.read_strings(spark, str(tmp_path), col=0, header=False, position=True)
+        assert (lines.select("_block").distinct().count() > 3) == (split == "700")
+        out = C.assign_chunk_id_by_splits(lines, 7)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort" not in plan.split("LogicalRDD")[0]
+        assert out.columns == [*lines.columns, "chunk_id"]
+        rows = [(r.smiles, r.chunk_id) for r in out.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(rows) == sorted((f"{s}{k}", k // 7) for s, n in (("a", 1000), ("b", 1), ("c", 300)) for k in range(n))
+    with pytest.raises(ValueError, match="positive"):
+        C.assign_chunk_id_by_splits(lines, 0)
+
+
 def test_lenient_parquet(spark, tmp_path):
     d = tmp_path / "d"
     spark.range(10).coalesce(1).write.parquet(str(d))

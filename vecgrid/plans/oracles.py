@@ -179,13 +179,19 @@ ORACLES: dict[str, str] = {
     "scan_columns": """SELECT count(*) AS n_rows, round(sum(l_extendedprice), 2) AS sum_l_extendedprice,
         round(sum(l_quantity), 2) AS sum_l_quantity, round(sum(l_discount), 2) AS sum_l_discount FROM lineitem""",
     "scan_lenient": "SELECT o_orderkey, o_totalprice, 'orders' AS stem FROM orders",
+    "file_ledger": """SELECT o_orderstatus AS kind, 'intact' AS status, NULL::VARCHAR AS reason, count(*) AS n_rows,
+        count(*) AS n_decoded FROM orders GROUP BY o_orderstatus
+        UNION ALL SELECT 'empty', 'empty', NULL, 0, 0
+        UNION ALL SELECT 'cut', 'unreadable', 'no footer at the end: cut off', 0, 0
+        UNION ALL SELECT 'text', 'unreadable', 'not a parquet file', 0, 0""",
     "union_files": """SELECT doc_id AS id, md5(text) AS text_md5 FROM documents UNION ALL
         SELECT item_id, md5(text) FROM benchmark UNION ALL SELECT conv_id, md5(text) FROM conversations""",
     "chunk_plan_orders": """SELECT o_orderstatus, count(*) AS n_rows, ceil(count(*) / 6050)::BIGINT AS n_chunks
         FROM orders GROUP BY o_orderstatus""",
     "chunk_id_orders": """SELECT o_orderkey, o_orderstatus,
         (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 1000 AS chunk_id FROM orders""",
-    "chunk_id_file_order": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS chunk_id FROM orders",
+    "chunk_id_file_order": """SELECT o_orderkey,
+        (row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) - 1) // 100 AS chunk_id FROM orders""",
     "widen_embeddings": "SELECT vec_id, "
     + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS fp_{i + 1}" for i in range(WIDTH))
     + " FROM embeddings",

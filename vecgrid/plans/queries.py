@@ -119,6 +119,34 @@ def scan_lenient(spark, sf):
     return df.select("o_orderkey", "o_totalprice", chunks.source_stem("_source").alias("stem"))
 
 
+def _copy_head(spark: SparkSession, path: str, target: str, share: float = 0.5) -> str:
+    """Copy the first part of one file, by bytes, to ``target``: what a broken upload leaves behind."""
+    hadoop = spark._jvm.org.apache.hadoop
+    source, copy = hadoop.fs.Path(path), hadoop.fs.Path(target)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = int(fs.getFileStatus(source).getLen() * share)
+    head = spark._jvm.org.apache.commons.io.input.BoundedInputStream(fs.open(source), size)
+    hadoop.io.IOUtils.copyBytes(head, fs.create(copy), 1 << 16, True)
+    return target
+
+
+@query
+def file_ledger(spark, sf):
+    """Files of `orders` by status, beside one that is empty, one that is cut off half-way and one of plain text."""
+    path = scratch_path(spark, "ledger")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    orders.write.partitionBy("o_orderstatus").parquet(f"{path}/given")
+    slim = orders.drop("o_orderstatus")
+    slim.filter("false").coalesce(1).write.parquet(f"{path}/empty")
+    slim.select(F.to_json(F.struct("*"))).write.text(f"{path}/text")
+    given = [f"{path}/given/o_orderstatus={s}" for s in "FOP"]
+    _copy_head(spark, S.expand_inputs(spark, given)[0], f"{path}/cut/half.parquet")
+    ledger = S.file_ledger(spark, [*given, *(f"{path}/{k}" for k in ("empty", "text", "cut"))], slim.schema)
+    kind = F.regexp_extract("_source", r"/(?:given/o_orderstatus=)?([^/]+)/[^/]+$", 1)
+    totals = ledger.groupBy(kind.alias("kind"), "status", "reason")
+    return totals.agg(F.sum(F.coalesce("n_rows", F.lit(0))).alias("n_rows"), F.sum("n_decoded").alias("n_decoded"))
+
+
 @query
 def union_files(spark, sf):
     tables = [
@@ -142,11 +170,13 @@ def chunk_id_orders(spark, sf):
 
 @query
 def chunk_id_file_order(spark, sf):
+    """Eight files, each in the order of its keys, numbered in file order by counts of their splits."""
     path = scratch_path(spark, "lines")
-    keys = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("smiles"))
-    keys.coalesce(1).sortWithinPartitions(F.col("smiles").cast("bigint")).write.csv(path, header=True)
-    lines = S.read_strings(spark, path, fmt="csv", position=True)
-    out = chunks.assign_chunk_id(lines, 1000)
+    part = F.pmod("o_orderkey", F.lit(8)).alias("part")
+    keys = table(spark, sf, "orders").select("o_orderkey", part)
+    keys.repartition("part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").csv(path)
+    lines = S.read_strings(spark, [f"{path}/part={k}" for k in range(8)], fmt="csv", col=0, header=False, position=True)
+    out = chunks.assign_chunk_id_by_splits(lines, 100)
     return out.select(F.col("smiles").cast("bigint").alias("o_orderkey"), "chunk_id")
 
 

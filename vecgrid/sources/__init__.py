@@ -1,7 +1,8 @@
-from vecgrid.sources.chunks import assign_chunk_id, chunk_plan, source_stem
+from vecgrid.sources.chunks import assign_chunk_id, assign_chunk_id_by_splits, chunk_plan, source_stem
 from vecgrid.sources.readers import (
     detect_format,
     expand_inputs,
+    file_ledger,
     lost_files,
     read_parquet_lenient,
     read_strings,
@@ -10,9 +11,11 @@ from vecgrid.sources.readers import (
 
 __all__ = [
     "assign_chunk_id",
+    "assign_chunk_id_by_splits",
     "chunk_plan",
     "detect_format",
     "expand_inputs",
+    "file_ledger",
     "lost_files",
     "read_parquet_lenient",
     "read_strings",
