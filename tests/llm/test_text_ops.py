@@ -267,3 +267,12 @@ def test_op5_counts_long_words(spark, tmp_path):
     encoded = library.encode_batch([t or "" for t in texts])
     got = {r.doc_id: (r.n_tokens, r.n_unknown) for r in Q.QUERIES["op5_token_counts"](spark, str(tmp_path)).collect()}
     assert got == {k: (len(e.ids), e.ids.count(0)) for k, e in enumerate(encoded)} and got[3][0] > 200
+
+
+def test_toxicity_fit_in_tasks(spark):
+    make = lambda rows: spark.createDataFrame(rows, "text string, label int, _order bigint")
+    assert T.fit(make([])) == T.ToxicityModel({}, 0.0)
+    assert T.fit(make([("a", 1, 1), (None, 1, 2), ("x", None, 3)])).weights == {}
+    assert T.fit(make([("", 0, 1), (None, 1, 2), ("ok fine.", 0, 2)])).weights == {}
+    rows = [("this is fine text. really", 0, k) for k in range(180)] + [("you vile scum. ok", 1, 200 + k) for k in range(24)]
+    assert T.fit(make(rows)) == T.fit_texts([r[0] for r in rows], [float(r[1]) for r in rows])
