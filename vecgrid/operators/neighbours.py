@@ -7,12 +7,13 @@ of the data is many pieces, not one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +52,8 @@ def knn_minhash(
     ``weight`` is 1 - estimated Jaccard similarity.
 
     Rows that repeat an id and signature count once, and an id is never its own neighbour. Rows without signature have no neighbours.
-    Work is at most nodes x trees x 2 k kc comparisons whatever the distribution of signatures.
+    Work is at most nodes x trees x 2 k kc comparisons whatever the distribution of signatures; a node leaves at most k rows
+    in each group or piece, so what is shuffled and written grows with the nodes, not with the pairs.
     """
     trees = min(permutations, MAX_TREES) if trees is None else trees
     if not 1 <= trees <= permutations:
@@ -68,18 +70,11 @@ def knn_minhash(
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
         .withColumn("id", F.get("ids", F.lit(0)))
     )
-    rows = nodes.select("id", "sig")
-    pairs = stable(_forest_pairs(rows, permutations, trees, max(2, k * kc)))
-    same = F.aggregate(F.zip_with("sig", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    scored = (
-        pairs.join(rows.withColumnRenamed("id", "a"), "a")
-        .join(rows.select(F.col("id").alias("b"), F.col("sig").alias("other")), "b")
-        .select("a", "b", same.alias("matches"))
-    )
-    sides = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
-    sides = scored.select(F.explode(sides).alias("s"), "matches").select("s.*", "matches").filter("matches > 0")
-    best = Window.partitionBy("src").orderBy(F.desc("matches"), "dst")
-    near = sides.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k)
+    met = _forest_groups(nodes.select("id", "sig"), permutations, trees, max(2, k * kc))
+    # The k best of a node are among its k best of each group.
+    every_group = _best_of_groups(met, k).groupBy("src").agg(F.flatten(F.collect_list("near")).alias("near"))
+    best = F.slice(F.array_sort(F.array_distinct("near")), 1, k)
+    near = stable(every_group.select("src", F.explode(best).alias("s")).select("src", "s.dst", (-F.col("s.m")).alias("matches")))
 
     # Nodes back to ids: its own copies, then those of its neighbours.
     candidates = near.join(nodes.select(F.col("id").alias("dst"), "ids"), "dst").select(
@@ -105,27 +100,90 @@ def knn_minhash(
     )
 
 
-def _forest_pairs(rows: DataFrame, permutations: int, trees: int, most: int) -> DataFrame:
-    """Different pairs (a, b), a < b, of nodes that meet in a group or in a piece of one; neither has more than ``most`` nodes."""
+def _forest_groups(rows: DataFrame, permutations: int, trees: int, most: int) -> DataFrame:
+    """(tree, head, piece, id, sig): the nodes of each group, or of each piece of one; none has more than ``most`` nodes.
+
+    In a piece of a large group ``sig`` is turned to the position of its tree, which leaves the number of equal positions as it is.
+    """
     starts = [permutations * t // trees for t in range(trees)]
     entries = rows.select(
         "id", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.get("sig", F.lit(p)).alias("head")) for t, p in enumerate(starts)])).alias("e")
     ).select("id", "e.*")
     sizes = entries.groupBy("tree", "head").agg(F.count("*").alias("size")).filter("size > 1")
     grouped = stable(entries.join(sizes, ["tree", "head"]))
-    small = grouped.filter(F.col("size") <= most).select("tree", "head", F.lit(0).cast("bigint").alias("piece"), "id")
+    small = grouped.filter(F.col("size") <= most).select("tree", "head", F.lit(0).cast("bigint").alias("piece"), "id").join(rows, "id")
+    small = small.select("tree", "head", "piece", "id", "sig")
     large = grouped.filter(F.col("size") > most)
-    met = small
-    if not large.isEmpty():
-        at = F.element_at(F.array(*[F.lit(p) for p in starts]), F.col("tree") + 1)
-        turned = F.concat(F.slice("sig", at + 1, F.lit(permutations)), F.slice("sig", F.lit(1), at))
-        keyed = large.join(rows, "id").select("tree", "head", "id", turned.alias("key"))
-        placed = ranked(keyed, ["key"], ["tree", "head"], "rank").select("tree", "head", "id", (F.col("rank") - 1).alias("at"))
-        pieces = F.array(2 * F.floor(F.col("at") / most) + 1, 2 * F.floor((F.col("at") + most // 2) / most) + 2)
-        met = small.unionByName(placed.select("tree", "head", F.explode(pieces).alias("piece"), "id"))
-    met = stable(met)
-    other = met.select("tree", "head", "piece", F.col("id").alias("b"))
-    return met.withColumnRenamed("id", "a").join(other, ["tree", "head", "piece"]).filter("a < b").select("a", "b").distinct()
+    if large.isEmpty():
+        return small
+    at = F.element_at(F.array(*[F.lit(p) for p in starts]), F.col("tree") + 1)
+    turned = F.concat(F.slice("sig", at + 1, F.lit(permutations)), F.slice("sig", F.lit(1), at))
+    keyed = large.join(rows, "id").select("tree", "head", "id", turned.alias("key"))
+    placed = ranked(keyed, ["key"], ["tree", "head"], "rank").select("tree", "head", "id", "key", (F.col("rank") - 1).alias("at"))
+    pieces = F.array(2 * F.floor(F.col("at") / most) + 1, 2 * F.floor((F.col("at") + most // 2) / most) + 2)
+    return small.unionByName(placed.select("tree", "head", F.explode(pieces).alias("piece"), "id", F.col("key").alias("sig")))
+
+
+def _best_of_groups(met: DataFrame, k: int) -> DataFrame:
+    """(src, near): for each node of a group its k others with most equal positions (ties: smaller id), as (-positions, dst).
+
+    Groups are compared where they lie, so no pair is ever shuffled or written, only k a node and group.
+    """
+    id_type = met.schema["id"].dataType
+    near = T.ArrayType(T.StructType([T.StructField("m", T.IntegerType()), T.StructField("dst", id_type)]))
+    keys = ["tree", "head", "piece"]
+    dealt = met.repartition(*keys).sortWithinPartitions(*keys, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the group that the last batch ended in
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            starts = _group_starts(held, keys)
+            yield from _best_in(held.slice(0, starts[-1]), starts[:-1], k)
+            held = held.slice(starts[-1])
+        if held is not None:
+            yield from _best_in(held, np.zeros(1, np.int64), k)
+
+    return dealt.mapInArrow(run, T.StructType([T.StructField("src", id_type), T.StructField("near", near)]))
+
+
+def _group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places where a new group begins in sorted rows."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        values = table[key].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _best_in(table: pa.Table, starts: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each row within its group; groups of equal size are compared together."""
+    if not table.num_rows:
+        return
+    ids = table["id"].combine_chunks()
+    sigs = table["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    sizes = np.diff(np.append(starts, table.num_rows))
+    for size in np.unique(sizes[sizes > 1]):
+        of_size = starts[sizes == size]
+        step = max(1, CHUNK // int(size * size))
+        for i in range(0, len(of_size), step):
+            rows = of_size[i : i + step, None] + np.arange(size)
+            x = np.ascontiguousarray(sigs[rows].transpose(2, 0, 1))
+            same = np.zeros((len(rows), size, size), np.int16)
+            for position in x:
+                same += position[:, :, None] == position[:, None, :]
+            same[:, np.arange(size), np.arange(size)] = 0
+            order = same.astype(np.int32) * int(size) + np.arange(size - 1, -1, -1, dtype=np.int32)  # ids are sorted
+            best = np.argpartition(order, size - k, axis=2)[:, :, size - k :] if size > k else np.broadcast_to(np.arange(size), same.shape)
+            matches = np.take_along_axis(same, best, axis=2)
+            kept = matches > 0
+            dst = np.take_along_axis(rows[:, None, :], best, axis=2)
+            offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=2).ravel())]).astype(np.int32)
+            found = pa.StructArray.from_arrays([pa.array(-matches[kept].astype(np.int32)), ids.take(pa.array(dst[kept]))], ["m", "dst"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), found)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows.ravel())), lists], ["src", "near"])
 
 
 # ---------------------------------------------------------------- coordinates

@@ -64,8 +64,9 @@ def clear_scratch(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, partitions: int) -> DataFrame:
-    """Deal the rows of a small table that is read as a few splits to ``partitions`` tasks."""
-    return df.repartition(partitions)
+    """Deal the rows of a table that is read as a few splits to ``partitions`` tasks, or to four for each core if those are more."""
+    wanted = max(partitions, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def ship_package(spark: SparkSession) -> None:
