@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from math import ceil, log2
+from math import ceil, exp, log, log2
 
 import numpy as np
 import pandas as pd
@@ -195,7 +195,7 @@ def knn_coords(
     """Exact Euclidean neighbours: (src, dst, weight, rank), k per row, ties by id.
 
     1. Rows at the same place become one point with its k + 1 smallest ids.
-    2. Points are cut into blocks of equal size, one coordinate after the other.
+    2. Points are cut into blocks of equal size, one coordinate after the other, each as often as its spread asks for.
     3. The k-th distance within its own block bounds each point's search; it then
        visits just the blocks whose bounding box comes that close (see ``_reached_boxes``).
     4. The best of all visits are merged and spelled out for every row.
@@ -251,6 +251,8 @@ def visit(
     # A much-visited block is searched by several tasks, each with a copy of its points.
     load = stable(visits.groupBy(*keys).agg(F.ceil(F.count("*") / (4 * block_rows)).alias("parts")))
     asking = visits.join(load, keys).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")))
+    if not set(x) <= set(visits.columns):  # wide coordinates join last, to be shuffled once a visit
+        asking = asking.join(held.select("pid", *x), "pid")
     copies = held.join(load, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair_schema = T.StructType(
         [T.StructField("src", id_type), T.StructField("dst", id_type), T.StructField("d2", T.DoubleType())]
@@ -339,15 +341,15 @@ def _reached_boxes(searched: DataFrame, x: list[str]) -> DataFrame:
 
 
 def _equal_blocks(points: DataFrame, x: list[str], total: int, block_rows: int) -> DataFrame:
-    """Number the points by blocks of about ``block_rows``: equal slabs of the first
-    coordinate, each cut into equal slabs of the second, and so on until they are small enough."""
-    cuts = ceil((total / block_rows) ** (1 / len(x)))
+    """Number the points by blocks of about ``block_rows``: equal slabs of the first coordinate, each cut into equal slabs of
+    the second, and so on. A coordinate gets slabs in proportion to its spread, so blocks are about as wide as high, and
+    a point's surroundings touch few of them."""
     out = points.withColumn("block", F.lit(0).cast("bigint"))
     size = total
-    for name in x:
+    for name, cuts in _cuts(points, x, total / block_rows):
         pieces = min(cuts, ceil(size / block_rows))
         if pieces <= 1:
-            break
+            continue
         size //= pieces  # the last slab of each also takes what is left over, so none is short
         out = ranked(out, [name, "pid"], ["block"], "_r")
         slab = F.least(F.floor((F.col("_r") - 1) / size), F.lit(pieces - 1))
@@ -355,6 +357,28 @@ def _equal_blocks(points: DataFrame, x: list[str], total: int, block_rows: int)
     return out
 
 
+def _cuts(points: DataFrame, x: list[str], wanted: float) -> list[tuple[str, int]]:
+    """Slabs of each coordinate, that of the least spread first, whose product is about ``wanted``.
+
+    The spread is the range of the middle nine tenths, so a few far points do not decide.
+    """
+    if wanted <= 1:
+        return []
+    ends = points.agg(*[F.percentile_approx(n, [0.05, 0.95], 1000).alias(n) for n in x]).first()
+    spread = {n: ends[n][1] - ends[n][0] for n in x}
+    out = []
+    for i, name in enumerate(sorted(x, key=lambda n: spread[n])):
+        rest = [spread[n] for n in sorted(x, key=lambda n: spread[n])[i:]]
+        if spread[name] > 0:
+            side = exp((sum(map(log, rest)) - log(wanted)) / len(rest))  # of a cube with its share of the points
+            cuts = max(1, round(spread[name] / side))
+        else:
+            cuts = 1 if rest[-1] > 0 else ceil(wanted ** (1 / len(rest)))
+        out.append((name, cuts))
+        wanted = max(1.0, wanted / cuts)
+    return out
+
+
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d2 = np.zeros((len(a), len(b)))
     for i in range(a.shape[1]):
