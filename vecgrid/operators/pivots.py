@@ -89,9 +89,11 @@ def knn_vectors(
     rings = stable(rings)
     spans = {r.pivot: r for r in rings.groupBy("pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).collect()}
     visits = stable(_reached_rings(searched, rings, n, spans))
+    floats = isinstance(df.schema[vec].dataType.elementType, T.FloatType)  # visits carry numbers as wide as they came
+    x = F.col("x").cast("array<float>").alias("x") if floats else F.col("x")
     near_points = visit(
-        visits.join(searched.select("pid", "x"), "pid"),
-        searched.select("pid", "x", "pivot", "ring"),
+        visits,
+        searched.select("pid", x, "pivot", "ring"),
         ["x"], ["pivot", "ring"], k, ring_rows, id_type, _nearest,
     )
     return rows_of_points(rows, points, near_points, ["x"], k)
@@ -194,7 +196,7 @@ def _nearest(asking: pd.DataFrame, held: pd.DataFrame, x: list[str], k: int) ->
     if asking.empty or held.empty:
         return empty
     held = held.sort_values("pid", kind="stable")
-    a, h = np.stack(asking[x[0]].to_numpy()), np.stack(held[x[0]].to_numpy())
+    a, h = (np.stack(t[x[0]].to_numpy()).astype(np.float64) for t in (asking, held))
     a_id, h_id = asking["pid"].to_numpy(), held["pid"].to_numpy()
     middle = h.mean(axis=0)
     centred = h - middle
