@@ -94,8 +94,9 @@ def ngrams(toks: Column, n: int) -> Column:
     """
     if n == 1:
         return toks
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n))
+    # Single elements are read: ``slice`` copies the whole array for each run, the square of a long text.
+    runs = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(toks, i + j) for j in range(n)]))
     return F.coalesce(runs, F.array().cast("array<string>"))
 
 
