@@ -74,8 +74,12 @@ def _batch_maker(shingle: int, seed: int) -> Callable[[], Callable[[pa.Array], l
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, ``fp``): the fingerprint of each whole text, as a signed long."""
-    of = per_text(_batch_maker(shingle, SEED), "fp long")
-    return docs.select(F.col(id_col), of(F.col(text_col)).alias("_r")).select(id_col, "_r.fp")
+    return docs.select(F.col(id_col), fingerprinter(shingle)(F.col(text_col)).alias("_r")).select(id_col, "_r.fp")
+
+
+def fingerprinter(shingle: int = SHINGLE) -> Callable[[Column], Column]:
+    """A column function of a text column: a struct with its fingerprint as ``fp``, a signed long."""
+    return per_text(_batch_maker(shingle, SEED), "fp long")
 
 
 def segment_masks(segments: int = SEGMENTS) -> list[int]:
