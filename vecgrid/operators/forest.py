@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecgrid.operators.skew import lookup_join
+from vecgrid.operators.skew import merge_lookup
 from vecgrid.session import stable
 
-REMAINDER = 20_000  # edges between merged components that one task finishes, whatever the size of the input
+REMAINDER = 200_000  # edges between merged components that one task finishes, whatever the size of the input
 
 
 def spanning_forest(edges: DataFrame, remainder: int = REMAINDER) -> DataFrame:
@@ -23,7 +23,7 @@ def spanning_forest(edges: DataFrame, remainder: int = REMAINDER) -> DataFrame:
     component takes its least edge, joined components are merged, and only the
     least edge between two components is carried on. The number of components at
     least halves each round. Every aggregation combines before it shuffles, and labels are
-    looked up with a join that copes with a component of any size. When a round leaves at most ``remainder`` edges, one
+    looked up with a merge join that copes with a component of any size and keeps tables of nodes off the driver. When a round leaves at most ``remainder`` edges, one
     task sorts these few and ends the forest, instead of many rounds that do next to nothing.
     """
     live = stable(
@@ -51,8 +51,8 @@ def spanning_forest(edges: DataFrame, remainder: int = REMAINDER) -> DataFrame:
         )
         parents = chosen.select(F.explode(links).alias("l")).select("l.*").filter(F.col("c").isNotNull())
         roots = _roots(stable(parents))
-        moved = lookup_join(live, roots.select(F.col("c").alias("cu"), F.col("p").alias("ru")), ["cu"])
-        moved = lookup_join(moved, roots.select(F.col("c").alias("cv"), F.col("p").alias("rv")), ["cv"])
+        moved = merge_lookup(live, roots.select(F.col("c").alias("cu"), F.col("p").alias("ru")), ["cu"])
+        moved = merge_lookup(moved, roots.select(F.col("c").alias("cv"), F.col("p").alias("rv")), ["cv"])
         live = stable(
             moved.filter(F.col("ru") != F.col("rv"))
             .groupBy(F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv"))
@@ -91,7 +91,7 @@ def _roots(parents: DataFrame) -> DataFrame:
     """Follow parent links (c, p) to the root; each pass makes two jumps, which quadruples the reach."""
     def jump(links: DataFrame) -> DataFrame:
         table = links.select(F.col("c").alias("p"), F.col("p").alias("g"))
-        return lookup_join(links, table, ["p"])
+        return merge_lookup(links, table, ["p"])
 
     while True:
         jumped = stable(jump(jump(parents).select("c", F.col("g").alias("p"))))

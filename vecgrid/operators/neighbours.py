@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from vecgrid.operators.grid import valid
 from vecgrid.operators.ranking import ranked
-from vecgrid.operators.skew import lookup_join
+from vecgrid.operators.skew import lookup_join, merge_lookup
 from vecgrid.session import stable
 
 MAX_TREES = 64  # trees of a prefix forest unless told otherwise
@@ -252,7 +252,7 @@ def visit(
     load = stable(visits.groupBy(*keys).agg(F.ceil(F.count("*") / (4 * block_rows)).alias("parts")))
     asking = visits.join(load, keys).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")))
     if not set(x) <= set(visits.columns):  # wide coordinates join last, to be shuffled once a visit
-        asking = asking.join(held.select("pid", *x), "pid")
+        asking = asking.join(held.select("pid", *x).hint("merge"), "pid")
     copies = held.join(load, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair_schema = T.StructType(
         [T.StructField("src", id_type), T.StructField("dst", id_type), T.StructField("d2", T.DoubleType())]
@@ -270,7 +270,7 @@ def visit(
 
 def rows_of_points(rows: DataFrame, points: DataFrame, near: DataFrame, x: list[str], k: int) -> DataFrame:
     """Points back to ids: its own copies at distance 0, then those of its neighbours."""
-    candidates = near.join(points.select(F.col("pid").alias("dst"), "ids"), "dst").select(
+    candidates = near.join(points.select(F.col("pid").alias("dst"), "ids").hint("merge"), "dst").select(
         F.col("src").alias("pid"), "d2", F.explode("ids").alias("id")
     )
     own = points.select("pid", F.lit(0.0).alias("d2"), F.explode("ids").alias("id"))
@@ -282,8 +282,8 @@ def rows_of_points(rows: DataFrame, points: DataFrame, near: DataFrame, x: list[
         .groupBy("pid")
         .agg(F.array_sort(F.collect_list(F.struct("d2", "id"))).alias("near"))
     )
-    per_point = stable(points.select("pid", *x).join(lists, "pid").select(*x, "near"))
-    joined = lookup_join(rows, per_point, x)
+    per_point = stable(points.select("pid", *x).join(lists.hint("merge"), "pid").select(*x, "near"))
+    joined = merge_lookup(rows, per_point, x)
     others = F.slice(F.filter("near", lambda s: s["id"] != F.col("id")), 1, k)
     return joined.select(F.col("id").alias("src"), F.posexplode(others).alias("_i", "_s")).select(
         "src", F.col("_s.id").alias("dst"), F.sqrt("_s.d2").alias("weight"), (F.col("_i") + 1).alias("rank")

@@ -27,3 +27,11 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFra
     on = list(on)
     columns = [*rows.columns, *(c for c in table.columns if c not in on)]
     return rows.join(table, on, "left").select(*columns)
+
+
+def merge_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``lookup_join`` for a ``table`` that has a row for each node or point: a merge join, which hot keys may split.
+
+    A broadcast of such a table would pass through the driver, and compressed shuffle sizes make large ones look small.
+    """
+    return lookup_join(rows, table.hint("merge"), on)
