@@ -216,7 +216,8 @@ def top_k(
     blocks_of = {r["dim"]: r["n_blocks"] for r in candidates.select("dim", "n_blocks").distinct().collect()} or {0: 1}
     count = F.coalesce(*[F.when(F.col("dim") == d, F.lit(n)) for d, n in blocks_of.items()], F.lit(0))
     spread = bounded.filter(count > 0).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
-    pairs = spread.join(candidates.select("dim", "block", "vecs", "ids"), ["dim", "block"]).select(
+    # Packed blocks and vectors compress well, so planners take large tables for small ones and would send them through the driver.
+    pairs = spread.join(candidates.select("dim", "block", "vecs", "ids").hint("merge"), ["dim", "block"]).select(
         "dim", "q_vecs", "q_ids", "least", "vecs", "ids"
     )
 
@@ -236,7 +237,8 @@ def top_k(
     by_query = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     best = found.withColumn("r", F.row_number().over(by_query)).filter(F.col("r") <= k + 1).drop("r")
     best = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("best"))
-    best = stored(best.join(queries.select(F.col("ids").getItem(0).alias("q"), "vec"), "q").select("vec", "best"), "search-best", "lz4")
+    named = queries.select(F.col("ids").getItem(0).alias("q"), "vec")
+    best = stored(best.join(named.hint("merge"), "q").select("vec", "best"), "search-best", "lz4")
     # every query row gets the list of its vector, without itself
     asking = rows.filter("is_query").select(F.col("id").alias("query_id"), "vec").distinct()
     own = asking.join(best.hint("merge"), "vec").select(
