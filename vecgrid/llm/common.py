@@ -21,15 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "zstd", file_rows: int = 0) -> DataFrame:
     """``df`` written once as Parquet in the shared scratch folder and read back.
 
     Cuts lineage like a reliable checkpoint, but compressed, columnar, with exact
-    sizes for the planner. Random or order-dependent values stay fixed from here on.
+    sizes for the planner. Random or order-dependent values stay fixed from here on. ``file_rows`` (0: any number) bounds the rows
+    of a file: Parquet holds 100 rows before it looks at their size, and is read in batches of 4,096, however large rows are.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

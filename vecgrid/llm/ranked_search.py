@@ -118,7 +118,7 @@ def build(term: np.ndarray, doc: np.ndarray, tf: np.ndarray, lengths: np.ndarray
 
 
 def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of all whole texts, written: one row for each shard. Nothing is shuffled.
+    """The index of all whole texts, written: one row, and one file, for each shard. Nothing is shuffled.
 
     NULL, empty and blank texts have no terms and are in no shard. NULL and repeated ids are documents like any other.
     """
@@ -181,7 +181,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield from filter(None, [shard(held)])
 
-    return stored(source.mapInArrow(run, schema), "search-index")
+    return stored(source.mapInArrow(run, schema), "search-index", file_rows=1)
 
 
 # ---------------------------------------------------------------- scores
