@@ -17,7 +17,9 @@ from vecgrid.operators.ranking import ranked
 from vecgrid.session import stable
 
 PIVOTS = 32
-RING_ROWS = 1024  # points per ring
+RING_ROWS = 1024  # points per ring, at least
+RINGS = 128  # beyond that many rings grow instead: a point visits all of them at worst, and each visit carries its vector
+RING_NUMBERS = 1 << 21  # that a ring may grow to, rows x width
 SAMPLE_ROWS = 1024  # points that the pivots are chosen from; they decide on speed, never on the result
 SAMPLE_NUMBERS = 1 << 20  # the same, as a bound on rows x width
 CHUNK = 1 << 20  # numbers a task holds at a time
@@ -31,14 +33,16 @@ def knn_vectors(
 
     1. Rows with equal vectors become one point with its k + 1 smallest ids.
     2. A point belongs to its nearest pivot. The points of a pivot are sorted by their distance to it and cut into rings of
-       ``ring_rows``; a pivot that holds most points just has many rings.
+       ``ring_rows``, or of a share of all points if that makes more than ``RINGS`` rings; a pivot that holds most points just has
+       many rings.
     3. The k-th distance within its own ring, or the k-th smallest distance around a pivot plus the way there, bounds each
        point's search. It visits the rings that the bound reaches: by the plane between two pivots, the ring's distances
        to its own pivot, and the ranges of its distances to all others.
     4. The best of all visits are merged and spelled out for every row.
 
     A ring is found through an equi-join on (pivot, step of distance): no task and no driver holds a list of rings. On vectors without
-    any structure the bounds reach everything, and an exact search must compare all pairs.
+    any structure the bounds reach everything, and an exact search must compare all pairs. What is shuffled then still grows with the points as
+    long as rings may grow (``RING_NUMBERS``), and by n^2 / ring beyond.
 
     ``id_col`` must be unique. Vectors must have one width; rows whose vector is NULL or holds NULL, NaN or an infinite value are left out.
     """
@@ -65,6 +69,8 @@ def knn_vectors(
     placed = measured.withColumn("pivot", (F.array_position("dq", own) - 1).cast("int")).withColumn("own", own)
     placed = stable(ranked(placed, ["own", "pid"], ["pivot"], "place"))
     sizes = {r.pivot: r.size for r in placed.groupBy("pivot").agg(F.count("*").alias("size")).collect()}  # one row per pivot
+    most = max(ring_rows, RING_NUMBERS // max(1, width))
+    ring_rows = min(most, max(ring_rows, -(-sum(sizes.values()) // RINGS)))
     last = _literal([max(1, sizes.get(j, 0) // ring_rows) - 1 for j in range(n)])  # the last ring takes what is left over
     placed = placed.withColumn("ring", F.least(F.floor((F.col("place") - 1) / ring_rows), F.get(last, F.col("pivot"))))
 
